@@ -114,8 +114,8 @@ VALID = {
 
 def base_spans(text: Column) -> Column:
     """The base spans of all kinds, sorted by start and then kind."""
-    parts = [F.filter(_spans(text, k, p), lambda s, k=k: VALID[k](s["text"])) for k, p in BASE.items()]
-    return F.sort_array(F.concat(*parts))
+    valid = lambda k: lambda s: VALID[k](s["text"])
+    return F.sort_array(F.concat(*[F.filter(_spans(text, k, p), valid(k)) for k, p in BASE.items()]))
 
 
 def _features(s: Column) -> Column:
@@ -231,7 +231,7 @@ class Trees:
             step = np.linalg.solve(np.array([[(v * z * z).sum(), (v * z).sum()], [(v * z).sum(), v.sum()]]) + 1e-3 * np.eye(2), g)
             self.slope, self.shift = self.slope + step[0], self.shift + step[1]
         p = 1 / (1 + np.exp(-(self.slope * z + self.shift)))
-        ok = [c for c in sorted({*p.round(6)}) if c >= 0.5 and t[p >= c].mean() >= precision]
+        ok = [c for c in sorted({*p}) if c >= 0.5 and t[p >= c].mean() >= precision]
         self.threshold = float(ok[0]) if ok else 2.0
         self.held_out = {"precision": float(t[p >= self.threshold].mean()) if ok else 1.0, "recall": float((p >= self.threshold)[t == 1].mean())}
         return self
@@ -255,8 +255,8 @@ def model(spark: SparkSession) -> Trees:
     """Fitted once a process, on LABELLED_LINES rows at most."""
     if "model" not in _fitted:
         lines = labelled_lines()
-        rows = F.explode(F.array(*[F.struct(F.lit(t).alias("text"), F.lit(y).alias("y")) for t, y in lines])).alias("r")
-        df = spark.range(1).select(rows).select("r.text", "r.y")
+        rows = F.explode(F.split(F.lit("\n".join(f"{y}{t}" for t, y in lines)), "\n")).alias("r")
+        df = spark.range(1).select(rows).select(F.substring("r", 2, 1000).alias("text"), F.left("r", F.lit(1)).cast("int").alias("y"))
         got = df.select("y", F.transform(candidates(F.col("text")), lambda c: c["x"]).alias("x")).collect()
         pairs = [(v, r["y"]) for r in got for v in r["x"]]
         _fitted["model"] = Trees().fit(np.array([v for v, _ in pairs]), np.array([y for _, y in pairs], float))
