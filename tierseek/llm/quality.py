@@ -111,3 +111,29 @@ def quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     """
     m = measure(df, text)
     return m.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & verdict(rules)})
+
+
+def sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The query in DuckDB."""
+    stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    ok = " AND ".join(
+        f"coalesce({r.metric.replace('/ n_words', '/ nullif(n_words, 0)').replace('/ n_lines', '/ nullif(n_lines, 0)')} {op} {v}, true)"
+        for r in rules
+        for op, v in ((">=", r.low), ("<=", r.high))
+        if v is not None
+    )
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM w),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM g),
+c AS (SELECT r, count(DISTINCT i + j) AS n FROM h, range(0, 3) AS x(j) WHERE n > 1 GROUP BY r),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) AS n_lines,
+             len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+             len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS n_stop_words
+      FROM w LEFT JOIN c USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {ok} AS kept FROM b
+"""
