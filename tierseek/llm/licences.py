@@ -43,6 +43,19 @@ def _template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def _gate(templates: list[list[str]], threshold: float) -> str:
+    """A pattern that any part with a Dice coefficient of threshold or more contains, in lower case.
+
+    Such a part holds at least t / (2 - t) of the template's bigrams, so it holds one of any larger share than the rest; the
+    longest bigrams are taken, which are the rarest.
+    """
+    chosen = set()
+    for b in templates:
+        missing = int(len(b) * (1 - threshold / (2 - threshold)) + 1e-9)
+        chosen |= {*sorted(b, key=lambda x: (-len(x), x))[: missing + 1]}
+    return "(?<![a-z0-9])(?:" + "|".join(sorted(x.replace(" ", "[^a-z0-9]+") for x in chosen)) + ")(?![a-z0-9])"
+
+
 def scan(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
     """df with licences: array<struct<licence, dice, part>>, one entry for each line or paragraph that matches a template.
 
@@ -56,15 +69,14 @@ def scan(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, templa
     """
     named = [(n, b) for n, t in sorted((templates or TEMPLATES).items()) if (b := _template_bigrams(t))]
     every = F.array(*[F.lit(x) for x in sorted({x for _, b in named for x in b})])
-    firsts = "|".join(sorted({x.split(" ")[0] for _, b in named for x in b}))
+    gate = _gate([b for _, b in named], threshold)
     smallest = min(len(b) for _, b in named)
     largest = max(len(b) for _, b in named)
     low, high = smallest * threshold / (2 - threshold), largest * (2 - threshold) / threshold
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(t, "\n", -1)
     paragraphs = F.filter(F.split(t, r"\n[ \t\r]*\n\s*", -1), lambda p: F.contains(p, F.lit("\n")))
-    # a cheap necessary condition: some word that begins a template's bigram
-    parts = F.filter(F.concat(lines, paragraphs), lambda p: p.rlike(rf"(?i)(?<![a-z0-9])(?:{firsts})(?![a-z0-9])"))
+    parts = F.filter(F.concat(lines, paragraphs), lambda p: F.lower(p).rlike(gate))
     sized = F.filter(F.transform(parts, lambda p: F.struct(p.alias("part"), bigrams(p).alias("b"))), lambda s: F.size(s["b"]).between(low, high))
 
     def best(s: Column) -> Column:
@@ -77,7 +89,8 @@ def scan(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, templa
         return let(F.array_min(scores), lambda m: F.struct(m["licence"].alias("licence"), (-m["d"]).alias("dice"), s["part"].alias("part")))
 
     shared = F.filter(sized, lambda s: F.arrays_overlap(s["b"], every))
-    return df.withColumn("licences", F.filter(F.transform(shared, best), lambda m: m["dice"] >= threshold))
+    matches = F.filter(F.transform(shared, best), lambda m: m["dice"] >= threshold)
+    return df.withColumn("licences", F.when(F.lower(t).rlike(gate), matches).otherwise(F.array().cast("array<struct<licence:string,dice:double,part:string>>")))
 
 
 def licence_digest(df: DataFrame) -> DataFrame:
