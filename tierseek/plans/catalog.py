@@ -1,4 +1,158 @@
-"""Queries over the test tables and their SQL."""
+"""Queries over the test tables, each with DuckDB SQL written from the rules rather than from the expressions."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tierseek.functions import fold as T
+from tierseek.operators.match import fuzzy_match
+from tierseek.operators.search import FieldSpec, FuzzyIndex, funnel, mrr, search_many
+from tierseek.sources.tables import read
+
+
+def _flat(df: DataFrame, key: str, m: Column) -> DataFrame:
+    """key, score, tier, ranges (`start-end` joined by `;`), corrected of the rows that match."""
+    found = df.withColumn("m", m).where("m is not null")
+    ranges = F.array_join(F.transform("m.ranges", lambda r: F.concat_ws("-", r["start"], r["end"])), ";")
+    return found.select(key, F.round("m.score", 4).alias("score"), F.col("m.tier").alias("tier"), ranges.alias("ranges"), F.coalesce("m.corrected", F.lit("")).alias("corrected"))
+
+
+def _tier(table: str, key: str, column: str, query: str, tiers: tuple[str, ...], acronym: bool = False):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = read(spark, sf_dir, table)
+        return _flat(df, key, fuzzy_match(column, query, acronym)).where(F.col("tier").isin(*tiers)).drop("corrected")
+
+    return run
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_name").distinct()
+
+
+def _corrected(query: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _flat(_names(spark, sf_dir), "p_name", fuzzy_match("p_name", query)).where("tier = 'corrected'")
+
+    return run
+
+
+def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", T.normalise_text(F.col("text")).alias("folded"))
+
+
+def split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = T.split_words(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(w).cast("long").alias("n_words"), F.array_join(w, " ").alias("words"))
+
+
+def literal_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = FuzzyIndex(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "p_partkey").search("red")
+    m = F.col("fields")[0]
+    return found.select("p_partkey", F.round("score", 4).alias("score"), m["tier"].alias("tier"))
+
+
+def search_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = FuzzyIndex(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "p_partkey").search("widget", limit=25)
+    return found.select("p_partkey", "p_name", F.round("score", 4).alias("score"))
+
+
+def search_multi_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    found = FuzzyIndex(df, [FieldSpec("c_name"), FieldSpec("c_mktsegment", at_best=2.0)], "c_custkey").search("auto")
+    return found.select("c_custkey", F.round("score", 4).alias("score"))
+
+
+def rescue_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten literal hits and more: rows that only a correction would find stay out."""
+    found = FuzzyIndex(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", "n_nationkey").search("nation")
+    return found.select("n_nationkey", F.round("score", 4).alias("score"))
+
+
+PROBES = {"a": "red", "b": "blue", "c": "widget"}
+
+
+def search_many_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = FuzzyIndex(_names(spark, sf_dir), "p_name", "p_name")
+    return search_many(index, PROBES, limit=10).select("query_id", F.col("rank").cast("long").alias("rank"), "p_name", F.round("score", 4).alias("score"))
+
+
+def search_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = FuzzyIndex(_names(spark, sf_dir), "p_name", "p_name")
+    return mrr(search_many(index, PROBES), {"a": "red widget", "b": "blue widget", "c": "blue widget"}, "p_name").select(F.round("mrr", 6).alias("mrr"))
+
+
+def gate_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnel(read(spark, sf_dir, "documents"), "text", "licensed").select("n_rows", "n_literal")
+
+
+def longtext_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that no document holds and that no correction reaches match nowhere, however long the text."""
+    df = read(spark, sf_dir, "documents")
+    words = ("qxzwkvjq", "zzyzxqqk", "wvuxqjkz")
+    return df.agg(*[F.count(fuzzy_match("text", w)).alias(w) for w in words])
+
+
+def fuzzy_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_names(spark, sf_dir), "p_name", fuzzy_match("p_name", "rewid")).drop("corrected")
+
+
+QUERIES = {
+    "normalise_text": normalise_text,
+    "split_words": split_words,
+    "tier_exact": _tier("orders", "o_orderkey", "o_orderpriority", "1-URGENT", ("exact",)),
+    "tier_normalised_exact": _tier("orders", "o_orderkey", "o_orderpriority", "1-urgent", ("normalised-exact",)),
+    "tier_prefix": _tier("nation", "n_nationkey", "n_name", "nation_1", ("prefix",)),
+    "tier_boundary_exact": _tier("orders", "o_orderkey", "o_orderpriority", "SPECIFIED", ("boundary-exact",)),
+    "tier_boundary": _tier("orders", "o_orderkey", "o_orderpriority", "specified", ("boundary",)),
+    "tier_multi_word": _tier("orders", "o_orderkey", "o_orderpriority", "specified 4", ("multi-word",)),
+    "tier_acronym": _tier("orders", "o_orderkey", "o_orderpriority", "ns", ("acronym",), acronym=True),
+    "tier_contains": _tier("orders", "o_orderkey", "o_orderpriority", "pecif", ("contains",)),
+    "literal_ladder": literal_ladder,
+    "fuzzy_chain": fuzzy_chain,
+    "corrected_swap": _corrected("wigdet"),
+    "corrected_deletion": _corrected("widgget"),
+    "corrected_substitution": _corrected("wibget"),
+    "corrected_insertion": _corrected("wdget"),
+    "corrected_phrase": _corrected("red wigdet"),
+    "search_top_k": search_top_k,
+    "search_multi_field": search_multi_field,
+    "rescue_budget": rescue_budget,
+    "search_many": search_many_ranked,
+    "mrr": search_mrr,
+    "gate_funnel": gate_funnel,
+    "longtext_guard": longtext_guard,
+}
+
+_FOLD = "replace(strip_accents(lower(trim({0}))), 'ł', 'l')"
+_LADDER = """CASE WHEN {c} = '{q}' THEN 0.0 WHEN lower({c}) = '{l}' THEN 0.1 WHEN starts_with(lower({c}), '{l}') THEN 0.5
+  WHEN regexp_matches({c}, '(^|[^\\p{{L}}\\p{{N}}_]){q}') THEN 0.9 WHEN regexp_matches(lower({c}), '(^|[^\\p{{L}}\\p{{N}}_]){l}') THEN 1.0
+  WHEN contains(lower({c}), '{l}') THEN 2.0 END"""
+
+
+def _ladder(column: str, query: str) -> str:
+    return _LADDER.format(c=column, q=query, l=query.lower())
+
+
+def _at(table: str, key: str, score: float, tier: str, where: str, ranges: str) -> str:
+    return f"SELECT {key}, CAST({score} AS DOUBLE) AS score, '{tier}' AS tier, {ranges} AS ranges FROM {table} WHERE {where}"
+
+
+ORACLES = {
+    "normalise_text": f"SELECT doc_id, {_FOLD.format('text')} AS folded FROM documents",
+    "split_words": r"""SELECT doc_id, len(w) AS n_words, array_to_string(w, ' ') AS words FROM (
+        SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM documents)""",
+    "tier_exact": _at("orders", "o_orderkey", 0.0, "exact", "o_orderpriority = '1-URGENT'", "'0-7'"),
+    "tier_normalised_exact": _at("orders", "o_orderkey", 0.1, "normalised-exact", "o_orderpriority = '1-URGENT'", "'0-7'"),
+    "tier_prefix": _at("nation", "n_nationkey", 0.5, "prefix", "starts_with(lower(n_name), 'nation_1') AND lower(n_name) <> 'nation_1'", "'0-7'"),
+    "tier_boundary_exact": _at("orders", "o_orderkey", 0.9, "boundary-exact", "contains(o_orderpriority, ' SPECIFIED')", "(strpos(o_orderpriority, 'SPECIFIED') - 1) || '-' || (strpos(o_orderpriority, 'SPECIFIED') + 7)"),
+    "tier_boundary": _at("orders", "o_orderkey", 1.0, "boundary", "contains(o_orderpriority, ' SPECIFIED')", "(strpos(o_orderpriority, 'SPECIFIED') - 1) || '-' || (strpos(o_orderpriority, 'SPECIFIED') + 7)"),
+    "tier_multi_word": _at("orders", "o_orderkey", 1.5, "multi-word", "list_has_all(regexp_split_to_array(lower(o_orderpriority), '[^a-z0-9_]+'), ['specified', '4'])", "'0-0;' || (strpos(o_orderpriority, 'SPECIFIED') - 1) || '-' || (strpos(o_orderpriority, 'SPECIFIED') + 7)"),
+    "tier_acronym": _at("orders", "o_orderkey", 1.8, "acronym", "contains(array_to_string(list_transform(regexp_extract_all(lower(o_orderpriority), '[a-z0-9_]+'), lambda x: x[1]), ''), 'ns')", "(strpos(o_orderpriority, 'NOT') - 1) || '-' || (strpos(o_orderpriority, 'NOT') - 1) || ';' || (strpos(o_orderpriority, 'SPEC') - 1) || '-' || (strpos(o_orderpriority, 'SPEC') - 1)"),
+    "tier_contains": _at("orders", "o_orderkey", 2.0, "contains", "contains(lower(o_orderpriority), 'pecif')", "(strpos(lower(o_orderpriority), 'pecif') - 1) || '-' || (strpos(lower(o_orderpriority), 'pecif') + 3)"),
+    "search_multi_field": f"""SELECT c_custkey, least(coalesce({_ladder("c_name", "auto")}, 99), coalesce({_ladder("c_mktsegment", "auto")} + 2, 99)) AS score
+        FROM customer WHERE contains(lower(c_name), 'auto') OR contains(lower(c_mktsegment), 'auto')""",
+    "rescue_budget": "SELECT n_nationkey, CAST(0.5 AS DOUBLE) AS score FROM nation WHERE starts_with(lower(n_name), 'nation')",
+    "gate_funnel": "SELECT count(*) AS n_rows, count(*) FILTER (WHERE contains(lower(text), 'licensed')) AS n_literal FROM documents",
+    "longtext_guard": "SELECT CAST(0 AS BIGINT) AS qxzwkvjq, CAST(0 AS BIGINT) AS zzyzxqqk, CAST(0 AS BIGINT) AS wvuxqjkz",
+}
