@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tierseek.functions.fold import fold_table
 from tierseek.functions.scores import BUDGET, MIN_QUERY, MIN_TYPO, SCORES
-from tierseek.operators.match import MATCH, Query, _q, let, match_of, prepared
+from tierseek.operators.match import MATCH, Query, _q, admits, let, match_of, matching, prepared
 
 
 @dataclass(frozen=True)
@@ -71,9 +71,13 @@ class FuzzyIndex:
             priced = let(m, lambda x: F.when(x.isNotNull(), x.withField("score", x["score"] + s.at_best)))
             return F.when(F.col(f"__p{i}").isNotNull(), priced).cast(MATCH)
 
-        found = (self.source if source is None else source).withColumn("fields", F.array(*[one(i, s) for i, s in enumerate(self.specs)]))
-        best = F.array_min(F.array_compact(F.transform("fields", lambda m: m["score"])))
-        return found.withColumn("score", best).where(F.col("score").isNotNull()).select(*self.columns, "score", "fields")
+        rows = self.source if source is None else source
+        if query.text:
+            rows = rows.where(reduce(lambda a, b: a | b, [admits(s.column(), query, rescue) for s in self.specs]))
+        fields = F.array(*[one(i, s) for i, s in enumerate(self.specs)])
+        best = lambda f: F.array_min(F.array_compact(F.transform(f, lambda m: m["score"])))
+        hit = let(fields, lambda f: F.when(best(f).isNotNull(), F.struct(best(f).alias("score"), f.alias("fields"))))
+        return matching(rows, hit, "__hit").select(*self.columns, "__hit.score", "__hit.fields")
 
     def ordered(self, found: DataFrame, limit: int | None) -> DataFrame:
         out = found.orderBy("score", *self.key)

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierseek.functions import fold as T
-from tierseek.operators.match import fuzzy_match
+from tierseek.operators.match import fuzzy_match, matching
 from tierseek.operators.search import FieldSpec, FuzzyIndex, funnel, mrr, search_many
 from tierseek.sources.tables import read
 
 
 def _flat(df: DataFrame, key: str, m: Column) -> DataFrame:
     """key, score, tier, ranges (`start-end` joined by `;`), corrected of the rows that match."""
-    found = df.withColumn("m", m).where("m is not null")
+    found = matching(df, m, "m")
     ranges = F.array_join(F.transform("m.ranges", lambda r: F.concat_ws("-", r["start"], r["end"])), ";")
     return found.select(key, F.round("m.score", 4).alias("score"), F.col("m.tier").alias("tier"), ranges.alias("ranges"), F.coalesce("m.corrected", F.lit("")).alias("corrected"))
 

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tierseek.operators.match import fuzzy_match
+from tierseek.operators.match import fuzzy_match, matching
 
 
 def match_stream(df: DataFrame, text: str, query: str, acronym: bool = False, out: str = "match") -> DataFrame:
     """The rows of a (streaming) DataFrame that match, with their MATCH. Ranking is for a batch over the sink."""
-    return df.withColumn(out, fuzzy_match(text, query, acronym)).where(F.col(out).isNotNull())
+    return matching(df, fuzzy_match(text, query, acronym), out)
