@@ -22,7 +22,7 @@ from tierseek.llm.common import U64, WordHashes, gram_hashes, mix, table
 
 GRAM = 8
 #: Words of context in one group of suffixes, and contexts of one anchor that share a group.
-GROUP_WORDS, MOST_CONTEXTS = 400_000, 1000
+GROUP_WORDS, MOST_CONTEXTS = 400_000, 20_000
 BASE = U64(0x9E3779B97F4A7C15)
 BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 
@@ -65,10 +65,9 @@ def _find(window: int):
                 h = hashes.of(words)
                 at, first, n = anchors(h, window)
                 a = gram_hashes(h, min(GRAM, window))[at]
-                c = mix(Runs(h).of(first, first + n + window - 1) + (at - first).astype(U64))
-                parts.append(pd.DataFrame({"h": a.astype(np.int64), "c": c.astype(np.int64), "doc_id": doc_id, "start": first, "n": n}))
+                parts.append((a.astype(np.int64), _prints(h, at, first, n, window), np.full(len(at), doc_id, np.int64), first, n))
             if parts:
-                yield pd.concat(parts)
+                yield pd.DataFrame(dict(zip(("h", "c", "doc_id", "start", "n"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
     return run
 
@@ -82,25 +81,28 @@ def _fetch(window: int):
             out = []
             for doc_id, text, wanted in zip(b["doc_id"], b["text"], b["wanted"], strict=True):
                 x = hashes.of(_words(text))
-                runs = Runs(x)
+                own = _contexts(x, window)
                 for w in wanted:
-                    end = w["start"] + w["n"] + window - 1
                     # of rows that share a doc_id, only the one that holds this context
-                    if end <= len(x) and _context(runs, x, w["start"], w["n"], window) == w["c"]:
+                    if own.get(w["start"]) == (w["n"], w["c"]):
+                        end = w["start"] + w["n"] + window - 1
                         out.append((w["h"], w["c"], doc_id, w["n"], w["many"], x[w["start"] : end].tobytes()))
             yield pd.DataFrame(out, columns=["h", "c", "doc_id", "n", "many", "words"])
 
     return run
 
 
-def _context(runs: Runs, x: np.ndarray, start: int, n: int, window: int) -> int:
-    k = min(GRAM, window)
-    g = gram_hashes(x[start : start + window], k)
-    hash_of = runs.of(np.array([start]), np.array([start + n + window - 1]))
-    # the anchor is the leftmost least run of the last window, and of the first as well
-    last = gram_hashes(x[start + n - 1 : start + n - 1 + window], k)
-    place = int(g.argmin()) if n == 1 else n - 1 + int(last.argmin())
-    return int(mix(hash_of + U64(place)).astype(np.int64)[0])
+def _prints(h: np.ndarray, at: np.ndarray, first: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of contexts: their words and where the anchor stands in them."""
+    return mix(Runs(h).of(first, first + n + window - 1) + (at - first).astype(U64)).astype(np.int64)
+
+
+def _contexts(h: np.ndarray, window: int) -> dict[int, tuple[int, int]]:
+    """start -> (number of windows, hash) of a text's contexts."""
+    if len(h) < window:
+        return {}
+    at, first, n = anchors(h, window)
+    return dict(zip(first.tolist(), zip(n.tolist(), _prints(h, at, first, n, window).tolist(), strict=True), strict=True))
 
 
 def tree_level(words: np.ndarray, depth: int) -> np.ndarray:
@@ -188,11 +190,15 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 def covered(words: list[bytes], doc_id: int, marks, window: int, hashes: WordHashes) -> np.ndarray:
     """Which words lie in a window that starts in an earlier document."""
     out = np.zeros(len(words) + 1, np.int64)
-    x = hashes.of(words)
-    runs = Runs(x)
+    own = _contexts(hashes.of(words), window)
     for m in marks:
         start, n = m["start"], m["n"]
-        if start + n + window - 1 > len(words) or _context(runs, x, start, n, window) != m["c"]:
+        if own.get(start) != (n, m["c"]):
+            continue
+        if m["least"] is None and m["lows"] is None:  # all windows start in the same earlier document
+            if m["first"] < doc_id:
+                out[start] += 1
+                out[start + n - 1 + window] -= 1
             continue
         least = np.full(n, m["first"], np.int64) if m["least"] is None else np.frombuffer(m["least"], np.int64).copy()
         for low in m["lows"] if m["lows"] is not None else ():
