@@ -148,6 +148,43 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"b": pairs[:, 0], "a": pairs[:, 1]})
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """How many shingles fall into each slot of a hash; more slots for larger sets."""
+    slots = 64
+    while slots * 8 < len(x) and slots < 1024:
+        slots *= 2
+    return np.minimum(np.bincount((mix(x + U64(5)) % U64(slots)).astype(np.int64), minlength=slots), 65535).astype("<u2").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of shingles in which two sets differ: the L1 distance of their sketches."""
+    x, y = np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u2").astype(np.int64)
+    n = min(len(x), len(y))
+    return int(np.abs(x.reshape(-1, n).sum(0) - y.reshape(-1, n).sum(0)).sum())
+
+
+def _sketches(k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            sets = [shingles(t, k, hashes) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(x) for x in sets], "sk": [sketch(x) for x in sets]})
+
+    return run
+
+
+def _near(scheme: Scheme):
+    """Pairs whose sketches allow the similarity. Only pairs that cannot link are dropped."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            most = (p["na"] + p["nb"]) * (scheme.den - scheme.num) // (scheme.den + scheme.num)
+            ok = np.array([least_difference(x, y) <= m for x, y, m in zip(p["ska"], p["skb"], most, strict=True)], bool)
+            yield p.loc[ok, ["a", "b"]]
+
+    return run
+
+
 def _verify(k: int, scheme: Scheme):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, last, x = WordHashes(), None, None
@@ -217,10 +254,14 @@ def links(docs: DataFrame, words: int = 3, similarity: tuple[int, int] = (90, 10
 
     ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
     texts = table(known.join(ends, "doc_id", "left_semi"))
+    sketches = table(texts.mapInPandas(_sketches(words), "doc_id long, n long, sk binary"))
 
     def verified(candidates: DataFrame) -> DataFrame:
         ta, tb = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        both = candidates.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
+        end = lambda x: sketches.select(*[F.col(c).alias(n) for c, n in (("doc_id", x), ("n", f"n{x}"), ("sk", f"sk{x}"))])
+        # a sketch is a few hundred bytes, a text may be any length: only pairs that pass meet with their texts
+        near = candidates.join(end("b"), "b").join(end("a"), "a").mapInPandas(_near(scheme), "a long, b long").distinct()
+        both = near.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
         return table(both.mapInPandas(_verify(words, scheme), "a long, b long, linked boolean"))
 
     tested = verified(pairs)
@@ -243,7 +284,7 @@ def links(docs: DataFrame, words: int = 3, similarity: tuple[int, int] = (90, 10
     groups = small.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("node", "comp"))).alias("g"))
     each = groups.select(F.explode("g").alias("x"), "g").select("x", F.explode(F.filter("g", lambda y: (y["node"] > F.col("x")["node"]) & (y["comp"] != F.col("x")["comp"]))).alias("y"))
     fresh = each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    fresh = table(fresh.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    fresh = table(fresh.join(pairs, ["a", "b"], "left_anti"))
     more = verified(fresh).where("linked").select("a", "b")
     if more.limit(1).count():
         edges = table(edges.union(more))
