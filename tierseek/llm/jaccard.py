@@ -49,9 +49,16 @@ class Scheme:
             return 0, 0, 0
         # where parts would hold few shingles, subsets of subparts make signatures more selective
         n2, k2 = (3, 1) if k < 12 else (1, 0)
-        return -(-(k + 1) // (k2 + 1)), n2, k2
+        n1 = -(-(k + 1) // (k2 + 1))
+        return n1 + n1 // 20 + 1, n2, k2  # some parts to spare, for the emptiest to be left out
 
     def signatures(self, x: np.ndarray) -> np.ndarray:
+        """A set's signatures, without those of its emptiest choices of subparts.
+
+        With at most d differences to any partner, at most d // (k2 + 1) parts have more than k2. If more parts than that have
+        ``least`` or more shingles in each choice, one of them has a choice that a partner shares. Of two similar sets the
+        one with the larger ``least`` has such a choice, and as the other holds the same shingles in it, it keeps it too.
+        """
         if len(x) == 0:
             return x
         own, out = int(np.searchsorted(self.ends, len(x))), []
@@ -66,11 +73,17 @@ class Scheme:
             high = np.bincount(slot, (z >> U64(32)).astype(float), n1 * n2).astype(U64)
             sums = mix(low + (high << U64(32)) + U64(band)).reshape(n1, n2)
             name = mix(np.arange(n1, dtype=U64) + U64(band << 32))
-            for i, kept in enumerate(itertools.combinations(range(n2), n2 - k2)):
+            choices = list(itertools.combinations(range(n2), n2 - k2))
+            sizes = np.bincount(slot, minlength=n1 * n2).reshape(n1, n2)
+            held = np.stack([sizes[:, kept].sum(axis=1) for kept in choices])
+            partner = min(self.ends[band], len(x) * self.den // self.num)
+            spoilt = (len(x) + partner) * (self.den - self.num) // (self.den + self.num) // (k2 + 1)
+            least = np.sort(held.min(axis=0))[max(0, n1 - spoilt - 1)]
+            for i, kept in enumerate(choices):
                 s = name + U64(i)
                 for c in kept:
                     s = mix(s * U64(0x9E3779B97F4A7C15) + sums[:, c])
-                out.append(s)
+                out.append(s[held[i] >= least])
         return np.concatenate(out) if out else np.zeros(0, U64)
 
     def linked(self, common: int, a: int, b: int) -> bool:
