@@ -23,6 +23,8 @@ from tierseek.llm.common import U64, WordHashes, gram_hashes, mix, table
 GRAM = 8
 #: Words of context in one group of suffixes, and contexts of one anchor that share a group.
 GROUP_WORDS, MOST_CONTEXTS = 400_000, 20_000
+#: What is known of a repeated context in a document.
+MARK = ("start", "n", "c", "first", "plain", "others")
 BASE = U64(0x9E3779B97F4A7C15)
 BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 
@@ -79,14 +81,11 @@ def _fetch(window: int):
         hashes = WordHashes()
         for b in batches:
             out = []
-            for doc_id, text, wanted in zip(b["doc_id"], b["text"], b["wanted"], strict=True):
+            for doc_id, text, h, c, start, n, many in zip(*(b[x] for x in ("doc_id", "text", "h", "c", "start", "n", "many")), strict=True):
                 x = hashes.of(_words(text))
-                own = _contexts(x, window)
-                for w in wanted:
-                    # of rows that share a doc_id, only the one that holds this context
-                    if own.get(w["start"]) == (w["n"], w["c"]):
-                        end = w["start"] + w["n"] + window - 1
-                        out.append((w["h"], w["c"], doc_id, w["n"], w["many"], x[w["start"] : end].tobytes()))
+                for i in np.flatnonzero(_holds(x, start, n, c, window)):
+                    end = start[i] + n[i] + window - 1
+                    out.append((h[i], c[i], doc_id, n[i], many[i], x[start[i] : end].tobytes()))
             yield pd.DataFrame(out, columns=["h", "c", "doc_id", "n", "many", "words"])
 
     return run
@@ -97,12 +96,13 @@ def _prints(h: np.ndarray, at: np.ndarray, first: np.ndarray, n: np.ndarray, win
     return mix(Runs(h).of(first, first + n + window - 1) + (at - first).astype(U64)).astype(np.int64)
 
 
-def _contexts(h: np.ndarray, window: int) -> dict[int, tuple[int, int]]:
-    """start -> (number of windows, hash) of a text's contexts."""
+def _holds(h: np.ndarray, start: np.ndarray, n: np.ndarray, c: np.ndarray, window: int) -> np.ndarray:
+    """Which contexts (start, number of windows, hash) a text has. Of rows that share a doc_id, another may be meant."""
     if len(h) < window:
-        return {}
-    at, first, n = anchors(h, window)
-    return dict(zip(first.tolist(), zip(n.tolist(), _prints(h, at, first, n, window).tolist(), strict=True), strict=True))
+        return np.zeros(len(start), bool)
+    at, first, count = anchors(h, window)
+    i = np.minimum(np.searchsorted(first, start), len(first) - 1)
+    return (first[i] == start) & (count[i] == n) & (_prints(h, at[i], first[i], count[i], window) == c)
 
 
 def tree_level(words: np.ndarray, depth: int) -> np.ndarray:
@@ -171,7 +171,7 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     live = table(contexts.join(live, "h"))
     # more than one context: get their words
     asked = live.where("k > 1").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("h", "c", "start", "n", (F.col("k") > MOST_CONTEXTS).alias("many"))).alias("wanted"))
-    words = known.join(asked, "doc_id").mapInPandas(_fetch(window), "h long, c long, doc_id long, n int, many boolean, words binary")
+    words = known.join(asked, "doc_id").select("doc_id", "text", *[F.col(f"wanted.{x}").alias(x) for x in ("h", "c", "start", "n", "many")]).mapInPandas(_fetch(window), "h long, c long, doc_id long, n int, many boolean, words binary")
     words = table(words)
     total = words.where("not many").agg(F.sum(F.length("words")) / 8).first()[0] or 0
     group = F.pmod(F.xxhash64("h"), F.lit(1 + int(total // GROUP_WORDS)))
@@ -187,23 +187,24 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "c", "first", "least", "lows")).alias("marks"))
 
 
-def covered(words: list[bytes], doc_id: int, marks, window: int, hashes: WordHashes) -> np.ndarray:
+def covered(words: list[bytes], doc_id: int, marks: dict, window: int, hashes: WordHashes) -> np.ndarray:
     """Which words lie in a window that starts in an earlier document."""
     out = np.zeros(len(words) + 1, np.int64)
-    own = _contexts(hashes.of(words), window)
-    for m in marks:
-        start, n = m["start"], m["n"]
-        if own.get(start) != (n, m["c"]):
+    start, n, first = marks["start"], marks["n"], marks["first"]
+    own = _holds(hashes.of(words), start, n, marks["c"], window)
+    plain, others = np.asarray(marks["plain"], bool), iter(marks["others"])
+    # all windows start in the same earlier document
+    whole = own & plain & (first < doc_id)
+    np.add.at(out, start[whole], 1)
+    np.add.at(out, start[whole] + n[whole] - 1 + window, -1)
+    for i in np.flatnonzero(~plain):
+        other = next(others)
+        if not own[i]:
             continue
-        if m["least"] is None and m["lows"] is None:  # all windows start in the same earlier document
-            if m["first"] < doc_id:
-                out[start] += 1
-                out[start + n - 1 + window] -= 1
-            continue
-        least = np.full(n, m["first"], np.int64) if m["least"] is None else np.frombuffer(m["least"], np.int64).copy()
-        for low in m["lows"] if m["lows"] is not None else ():
+        least = np.full(n[i], first[i], np.int64) if other["least"] is None else np.frombuffer(other["least"], np.int64).copy()
+        for low in other["lows"] if other["lows"] is not None else ():
             least[low["i"]] = min(least[low["i"]], low["low"])
-        at = start + np.flatnonzero(np.minimum(least, m["first"]) < doc_id)
+        at = start[i] + np.flatnonzero(np.minimum(least, first[i]) < doc_id)
         np.add.at(out, at, 1)
         np.add.at(out, at + window, -1)
     return np.cumsum(out[:-1]) > 0
@@ -214,9 +215,9 @@ def _apply(window: int, digest: bool):
         hashes = WordHashes()
         for b in batches:
             out = []
-            for doc_id, text, marks in zip(b["doc_id"], b["text"], b["marks"], strict=True):
+            for doc_id, text, *marks in zip(b["doc_id"], b["text"], *(b[x] for x in MARK), strict=True):
                 words = _words(text)
-                gone = covered(words, doc_id, marks, window, hashes) if marks is not None else np.zeros(len(words), bool)
+                gone = covered(words, doc_id, dict(zip(MARK, marks, strict=True)), window, hashes) if marks[0] is not None else np.zeros(len(words), bool)
                 kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g) if gone.any() else b" ".join(words)
                 out.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept"]).astype({"doc_id": "Int64"})
@@ -233,7 +234,10 @@ def dedup(docs: DataFrame, window: int = 50, digest: bool = False) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = repeats(docs, window).withColumnRenamed("doc_id", "__d")
-    both = docs.join(marks, docs["doc_id"] == marks["__d"], "left").select("doc_id", "text", "marks")
+    # arrays of numbers reach Python as they are, structs one by one
+    plain = lambda m: m["least"].isNull() & m["lows"].isNull()
+    parts = [F.col(f"marks.{x}").alias(x) for x in MARK[:4]] + [F.transform("marks", plain).alias("plain"), F.filter("marks", lambda m: ~plain(m)).alias("others")]
+    both = docs.join(marks, docs["doc_id"] == marks["__d"], "left").select("doc_id", "text", *parts)
     return both.mapInPandas(_apply(window, digest), f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept'} string")
 
 
