@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierseek.llm.common import table
@@ -11,11 +11,15 @@ from tierseek.llm.common import table
 def min_labels(edges: DataFrame) -> DataFrame:
     """node, label: for each end of an edge (a, b) the smallest node that it is connected with.
 
-    Each round takes the smallest label among the neighbours and then the label's own label, so a path of n nodes takes
+    First every node keeps one edge, to its smallest neighbour, and its other smaller neighbours get one to that: a group whose
+    members name several hubs each then has about one edge for each member. Each round takes the smallest label among the neighbours and then the label's own label, so a path of n nodes takes
     about log n rounds. Nothing but a count of changes reaches the driver; a node with many neighbours is met by partial
     aggregates and by joins whose other side has one row for it.
     """
-    e = table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    low = down.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    down = low.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+    e = table(down.unionByName(down.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = table(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = e.join(labels, e.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
