@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -22,6 +23,8 @@ MAX_WORDS, MAX_GRAMS, MAX_LANGS = 20_000, 10_000, 300
 ORDERS = (5, 4, 3, 2, 1)
 FLUSH = 300_000
 LONGEST = 40
+#: Numbers in the matrix of words that a scorer has met.
+CELLS = 2_000_000
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,40 +84,70 @@ class Model:
         """The rows that speak for one lower-case word and the weight of each: its own, or those of its longest known n-grams."""
         if (known := self.words.get(w)) is not None:
             return [known], 1.0
+        w = f"^{w[:LONGEST]}$"
         for o in ORDERS:
             table_of = self.grams[o]
-            found = [table_of[g] for g in grams_of(w, o) if g in table_of]
+            found = [table_of[g] for i in range(len(w) - o + 1) if (g := w[i : i + o]) in table_of]
             if found:
                 # n-grams say less than a whole word, and shorter ones less still
                 return found, o / (ORDERS[0] + 1) / len(found)
         return [], 0.0
 
-    def scorer(self, bound: int = 100_000):
+    def scorer(self):
         """text -> (language, score from 0 to 1)."""
-        cache: dict[str, tuple[list[int], float]] = {}
+        known = KnownWords(self)
+        step = max(1, CELLS // (LONGEST * max(1, len(self.langs))))
 
         def score(text: str | None) -> tuple[str, float]:
             if not text or not self.langs or not LETTER.search(text):
                 return "und", 0.0
-            rows, weights, n = [], [], 0
-            for w, k in Counter(WORDS.findall(text.lower())).items():
-                part = cache.get(w)
-                if part is None:
-                    if len(cache) >= bound:
-                        cache.clear()
-                    part = cache[w] = self.parts(w)
-                rows += part[0]
-                weights += [k * part[1]] * len(part[0])
-                n += k
-            total = np.array(weights) @ self.matrix[rows] if rows else np.zeros(len(self.langs))
+            words = WORDS.findall(text.lower())
+            total = np.zeros(len(self.langs))
+            for i in range(0, len(words), step):
+                total += known.of(words[i : i + step])
             best = int(total.argmax())
             # at the weight of sqrt(n) words, so that long texts do not all reach 1
-            p = np.exp((total - total[best]) / max(1.0, math.sqrt(n)))
+            p = np.exp((total - total[best]) / max(1.0, math.sqrt(len(words))))
             return self.langs[best], float(1.0 / p.sum())
 
         return score
 
 
+class KnownWords(dict):
+    """Word -> its row in a matrix of what it says for each language. Holds at most CELLS numbers, then starts afresh."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.rows = np.zeros((max(1, CELLS // max(1, len(model.langs))), len(model.langs)))
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        self.fresh.append(word)
+        return at
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The sum over words, of which there are at most as many as rows. A word has up to LONGEST n-grams, so callers pass slices."""
+        if len(self) + len(words) > len(self.rows):
+            self.clear()
+        self.fresh = []
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            self.learn()
+        return self.rows[at].sum(axis=0)
+
+    def learn(self) -> None:
+        """Fill the rows of the fresh words, the last ones that came in."""
+        found, weights = zip(*map(self.model.parts, self.fresh), strict=True)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        rows = self.rows[len(self) - len(found) : len(self)]
+        rows[:] = 0
+        if sizes.any():
+            flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, sizes.sum())
+            some = sizes > 0
+            starts = (np.cumsum(sizes) - sizes)[some]
+            rows[some] = np.add.reduceat(self.model.matrix[flat].astype(float), starts) * np.array(weights)[some, None]
+
+
 def _rows(found, key: str, langs: list[str], totals: dict[str, float], prior: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Entries, and for each log((n + prior) / total) by language, less the mean over languages. found: an Arrow table."""
     entries = pc.dictionary_encode(found[key].combine_chunks())
@@ -171,9 +204,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     schema = "lang_pred string, score double"
 
     @F.pandas_udf(schema)
-    def tag(texts: pd.Series) -> pd.DataFrame:
+    def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = shared.value.scorer()
-        return pd.DataFrame([score(t) for t in texts], columns=["lang_pred", "score"])
+        for texts in batches:
+            yield pd.DataFrame([score(t) for t in texts], columns=["lang_pred", "score"])
 
     return docs.withColumn("__l", tag(F.col("text"))).withColumns({"lang_pred": F.col("__l.lang_pred"), "score": F.col("__l.score")}).drop("__l")
 
