@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -70,6 +71,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Texts are hashed in slices of about so many bytes.
+SLICE = 1 << 20
+_SPACES = np.frombuffer(b" \t\n\v\f\r", np.uint8)
+_NEXT_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _weights(places: np.ndarray) -> np.ndarray:
+    return mix((places.astype(U64) + U64(1)) * U64(0xD6E8FEB86659FD93)) | U64(1)
+
+
+_BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+_BYTES[_SPACES] = 0
+_IS_SPACE = np.isin(np.arange(256), _SPACES)
+_PLACES = _weights(np.arange(1 << 12))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text: sums over a word's bytes, each weighed by its place in the word."""
+    if len(data) <= SLICE:
+        return _slice_hashes(np.frombuffer(data, np.uint8))
+    parts, at = [], 0
+    while at < len(data):  # slices end at white space, so each word is whole
+        space = _NEXT_SPACE.search(data, at + SLICE)
+        end = space.start() if space else len(data)
+        parts.append(_slice_hashes(np.frombuffer(data[at:end], np.uint8)))
+        at = end
+    return np.concatenate(parts)
+
+
+def _slice_hashes(b: np.ndarray) -> np.ndarray:
+    space = _IS_SPACE[b]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(b) else b
+    if len(starts) == 0:
+        return np.zeros(0, U64)
+    place = np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(starts, append=len(b)))
+    weight = _PLACES[place] if place.max() < len(_PLACES) else _weights(place)
+    return mix(np.add.reduceat(_BYTES[b[starts[0] :]] * weight, starts - starts[0]))
+
+
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words, from the words' hashes; the whole sequence as one if shorter."""
     if len(h) == 0:

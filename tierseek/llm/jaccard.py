@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierseek.llm.common import U64, WordHashes, gram_hashes, mix, table
+from tierseek.llm.common import U64, gram_hashes, mix, table, word_hashes
 from tierseek.llm.graph import min_labels
 
 FLUSH = 500_000
@@ -25,11 +25,11 @@ PER_BUCKET = 150_000
 SMALL, BLOCK = 40, 256
 
 
-def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
+def shingles(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct hashes of the k-word shingles of a text, A-Z lower-cased; of all its words if it has fewer."""
     if not text:
         return np.zeros(0, U64)
-    return np.unique(gram_hashes(hashes.of(text.encode("utf-8", "surrogatepass").lower().split()), k))
+    return np.unique(gram_hashes(word_hashes(text.encode("utf-8", "surrogatepass").lower()), k))
 
 
 class Scheme:
@@ -102,22 +102,18 @@ def _stars(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return sigs[first], nodes[first], pairs
 
 
-def _describe(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for b in batches:
-            sets = [shingles(t, k, hashes) for t in b["text"]]
-            print_of = lambda s, salt: [int(mix(x + U64(salt)).sum(dtype=U64).astype(np.int64)) for x in s]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(x) for x in sets], "fa": print_of(sets, 1), "fb": print_of(sets, 2)})
+DESCRIBED = ("doc_id", "no_id", "n_shingles", "fa", "fb")
+BLOCKS = ("bucket", "sigs", "nodes", "pairs")
 
-    return run
 
+def _describe(k: int, scheme: Scheme, buckets: int):
+    """Rows of two kinds from one pass over the texts: each row's set described, and blocks of signatures with a bucket.
 
-def _sign(k: int, scheme: Scheme, buckets: int):
-    """(bucket, sigs, nodes, pairs) of a partition: signatures met once each, with stars of those met more often."""
+    A block is (bucket, sigs, nodes, pairs): signatures met once each, with stars of those that its texts share.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, sigs, nodes, held, seen = WordHashes(), [], [], 0, set()
+        sigs, nodes, held, seen = [], [], 0, set()
 
         def flush() -> pd.DataFrame:
             s, n, pairs = _stars(np.concatenate(sigs), np.concatenate(nodes))
@@ -131,13 +127,15 @@ def _sign(k: int, scheme: Scheme, buckets: int):
                 if len(o) or len(p):
                     rows.append((i, s[o].tobytes(), n[o].tobytes(), p.astype(np.int64).tobytes()))
             sigs.clear(), nodes.clear(), seen.clear()
-            return pd.DataFrame(rows, columns=["bucket", "sigs", "nodes", "pairs"])
+            return pd.DataFrame(rows, columns=BLOCKS).reindex(columns=[*DESCRIBED, *BLOCKS]).astype(object).where(lambda x: x.notna(), None)
 
         for b in batches:
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                x = shingles(text, k, hashes)
+            described = []
+            for doc_id, no_id, text in zip(b["doc_id"], b["no_id"], b["text"], strict=True):
+                x = shingles(text, k)
                 same = (len(x), int(mix(x + U64(1)).sum(dtype=U64)), int(mix(x + U64(2)).sum(dtype=U64)))
-                if same in seen:  # an exact copy: its class says all
+                described.append((doc_id, no_id, len(x), *np.array(same[1:], U64).astype(np.int64).tolist(), None, None, None, None))
+                if no_id or same in seen:  # an exact copy: its class says all
                     continue
                 seen.add(same)
                 s = scheme.signatures(x)
@@ -147,6 +145,7 @@ def _sign(k: int, scheme: Scheme, buckets: int):
                 if held >= FLUSH:
                     yield flush()
                     held = 0
+            yield pd.DataFrame(described, columns=[*DESCRIBED, *BLOCKS])
         if sigs:
             yield flush()
 
@@ -178,9 +177,8 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 def _sketches(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for b in batches:
-            sets = [shingles(t, k, hashes) for t in b["text"]]
+            sets = [shingles(t, k) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(x) for x in sets], "sk": [sketch(x) for x in sets]})
 
     return run
@@ -200,13 +198,13 @@ def _near(scheme: Scheme):
 
 def _verify(k: int, scheme: Scheme):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, last, x = WordHashes(), None, None
+        last, x = None, None
         for rows in batches:
             out = []
             for a, b, ta, tb in zip(rows["a"], rows["b"], rows["ta"], rows["tb"], strict=True):
                 if ta != last:
-                    last, x = ta, shingles(ta, k, hashes)
-                y = shingles(tb, k, hashes)
+                    last, x = ta, shingles(ta, k)
+                y = shingles(tb, k)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 out.append((a, b, scheme.linked(common, len(x), len(y))))
             yield pd.DataFrame(out, columns=["a", "b", "linked"])
@@ -216,9 +214,8 @@ def _verify(k: int, scheme: Scheme):
 
 def _memberships(k: int, scheme: Scheme):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for rows in batches:
-            sigs = [scheme.signatures(shingles(t, k, hashes)).astype(np.int64) for t in rows["text"]]
+            sigs = [scheme.signatures(shingles(t, k)).astype(np.int64) for t in rows["text"]]
             yield pd.DataFrame({"sig": np.concatenate([*sigs, np.zeros(0, np.int64)]), "node": np.repeat(rows["doc_id"].to_numpy(), [len(s) for s in sigs])})
 
     return run
@@ -228,8 +225,7 @@ def _block_links(k: int, scheme: Scheme):
     """Links between the outsiders of one block and the rows of another; shingles become columns of a 0/1 matrix."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        hashes = WordHashes()
-        sets = [shingles(t, k, hashes) for t in rows["text"]]
+        sets = [shingles(t, k) for t in rows["text"]]
         sizes = np.array([len(s) for s in sets])
         _, columns = np.unique(np.concatenate(sets), return_inverse=True)
         comp, nodes, out = rows["comp"].to_numpy(), rows["node"].to_numpy(), []
@@ -254,12 +250,16 @@ def links(docs: DataFrame, words: int = 3, similarity: tuple[int, int] = (90, 10
     """
     scheme = Scheme(*similarity)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = table(docs.mapInPandas(_describe(words), "doc_id long, n_shingles long, fa long, fb long"))
-    total = described.agg(F.sum("n_shingles")).first()[0] or 0
+    # a word has rarely fewer than five bytes with the space after it; buckets of short words hold more
+    total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5
     share = 3.0 * (scheme.den - scheme.num) / (scheme.den + scheme.num)
     buckets = max(12, int(total * 2 * share / PER_BUCKET))
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
+    kinds = "doc_id long, no_id boolean, n_shingles long, fa long, fb long, bucket int, sigs binary, nodes binary, pairs binary"
+    both = table(rows.mapInPandas(_describe(words, scheme, buckets), kinds))
+    described = both.where("bucket is null").select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_shingles", "fa", "fb")
     known = docs.where("doc_id is not null and text is not null")
-    blocks = known.mapInPandas(_sign(words, scheme, buckets), "bucket int, sigs binary, nodes binary, pairs binary")
+    blocks = both.where("bucket is not null").select(*BLOCKS)
     pairs = table(blocks.groupBy("bucket").applyInPandas(_meet, "a long, b long").distinct())
     # copies of a set
     classes = described.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "fa", "fb").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
