@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 U64 = np.uint64
+GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +37,23 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Places of a filter of ids: 2^26 bits, 8 MB at most however many ids there are.
+PLACES, PER_ROW = 1 << 26, 1 << 15
+
+
+def among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose key is in the column of the same name of ids (distinct), with few of the others shuffled.
+
+    A bitmap of hashed ids, of a fixed size, is broadcast and drops most other rows first; the more ids, the fewer it drops.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(PLACES))
+    row, bit = F.floor(place / PER_ROW).cast("int"), (place % PER_ROW).cast("int")
+    bits = ids.select(row.alias("__row"), bit.alias("__bit")).groupBy("__row").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    byte = F.conv(F.hex(F.substring("__map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = df.withColumn("__row", row).join(F.broadcast(bits), "__row").where(F.getbit(byte, bit % 8) == 1)
+    return near.select(df.columns).join(ids.select(key), key)  # a semi join would be moved below the filter
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once a row instead of once for each use."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -111,11 +129,20 @@ def _slice_hashes(b: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words, from the words' hashes; the whole sequence as one if shorter."""
+    """Hashes of all runs of k words, from the words' hashes; the whole sequence as one if shorter.
+
+    Runs of 1, 2, 4, ... words are put together as the binary digits of k say.
+    """
     if len(h) == 0:
         return h
     k = min(k, len(h))
-    out = np.zeros(len(h) - k + 1, U64)
-    for i in range(k):
-        out = mix(out * U64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i] + U64(k))
-    return out
+    power, width, out, have = mix(h + U64(k)), 1, None, 0
+    while True:
+        if k & width:
+            n = len(h) - have - width + 1
+            out = power if out is None else mix(out[:n] * GOLDEN + power[have : have + n])
+            have += width
+        if have == k:
+            return out
+        power = mix(power[:-width] * GOLDEN + power[width:])
+        width *= 2

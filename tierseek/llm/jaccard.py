@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierseek.llm.common import U64, gram_hashes, mix, table, word_hashes
+from tierseek.llm.common import U64, among, gram_hashes, mix, table, word_hashes
 from tierseek.llm.graph import min_labels
 
 FLUSH = 500_000
@@ -260,13 +260,20 @@ def links(docs: DataFrame, words: int = 3, similarity: tuple[int, int] = (90, 10
     described = both.where("bucket is null").select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_shingles", "fa", "fb")
     known = docs.where("doc_id is not null and text is not null")
     blocks = both.where("bucket is not null").select(*BLOCKS)
-    pairs = table(blocks.groupBy("bucket").applyInPandas(_meet, "a long, b long").distinct())
+    met = table(blocks.groupBy("bucket").applyInPandas(_meet, "a long, b long").distinct())
     # copies of a set
     classes = described.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "fa", "fb").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = described.join(classes, ["n_shingles", "fa", "fb"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
+    # of the copies of a set, one stands for all; ids whose rows differ stand for themselves
+    several = described.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "fa", "fb")).alias("x"), F.max(F.struct("n_shingles", "fa", "fb")).alias("y")).where("x <> y")
+    named = table(copies.distinct().join(several.select(F.col("doc_id").alias("b")), "b", "left_anti"))
+    for end in ("a", "b"):
+        met = met.join(named.select(F.col("b").alias(end), F.col("a").alias("rep")), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
+    pairs = table(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
     ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    texts = table(known.join(ends, "doc_id", "left_semi"))
+    texts = table(among(known, "doc_id", ends))
     sketches = table(texts.mapInPandas(_sketches(words), "doc_id long, n long, sk binary"))
 
     def verified(candidates: DataFrame) -> DataFrame:
@@ -287,9 +294,7 @@ def links(docs: DataFrame, words: int = 3, similarity: tuple[int, int] = (90, 10
         open_sigs = found.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
         return found.join(open_sigs.select("sig", "m"), "sig")
 
-    # one row for each set: copies of the same set share all signatures
-    unique = texts.join(copies.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    members = unique.mapInPandas(_memberships(words, scheme), "sig long, node long")
+    members = texts.mapInPandas(_memberships(words, scheme), "sig long, node long")
     again = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig")
     members = table(members.join(again, "sig"))
     still = table(mixed())
