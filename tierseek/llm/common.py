@@ -64,24 +64,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes). Holds at most ``bound`` words, then starts afresh."""
-
-    def __init__(self, bound: int = 400_000):
-        import xxhash
-
-        self.hash, self.bound = xxhash.xxh3_64_intdigest, bound
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        value = self[word] = self.hash(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64), vectorised."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

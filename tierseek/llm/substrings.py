@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierseek.llm.common import U64, WordHashes, gram_hashes, mix, table
+from tierseek.llm.common import U64, gram_hashes, mix, table, word_hashes
 
 GRAM = 8
 #: Words of context in one group of suffixes, and contexts of one anchor that share a group.
@@ -42,31 +42,28 @@ class Runs:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + mix((end - start).astype(U64)))
 
 
-def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor's place, first window start and number of windows, for each anchor of a text's words."""
+def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor's place, first window start, number of windows and hash, for each anchor of a text's words."""
     g = gram_hashes(h, min(GRAM, window))
     view = np.lib.stride_tricks.sliding_window_view(g, window - min(GRAM, window) + 1)
     at = np.arange(len(view)) + view.argmin(axis=1)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[first], first, np.diff(np.append(first, len(at)))
+    return at[first], first, np.diff(np.append(first, len(at))), g[at[first]]
 
 
-def _words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def _bytes(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if text else b""
 
 
 def _find(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for b in batches:
             parts = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                words = _words(text)
-                if len(words) < window:
+                h = word_hashes(_bytes(text))
+                if len(h) < window:
                     continue
-                h = hashes.of(words)
-                at, first, n = anchors(h, window)
-                a = gram_hashes(h, min(GRAM, window))[at]
+                at, first, n, a = anchors(h, window)
                 parts.append((a.astype(np.int64), _prints(h, at, first, n, window), np.full(len(at), doc_id, np.int64), first, n))
             if parts:
                 yield pd.DataFrame(dict(zip(("h", "c", "doc_id", "start", "n"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
@@ -78,11 +75,10 @@ def _fetch(window: int):
     """The word hashes of the contexts that are asked for, from their documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for b in batches:
             out = []
             for doc_id, text, h, c, start, n, many in zip(*(b[x] for x in ("doc_id", "text", "h", "c", "start", "n", "many")), strict=True):
-                x = hashes.of(_words(text))
+                x = word_hashes(_bytes(text))
                 for i in np.flatnonzero(_holds(x, start, n, c, window)):
                     end = start[i] + n[i] + window - 1
                     out.append((h[i], c[i], doc_id, n[i], many[i], x[start[i] : end].tobytes()))
@@ -100,7 +96,7 @@ def _holds(h: np.ndarray, start: np.ndarray, n: np.ndarray, c: np.ndarray, windo
     """Which contexts (start, number of windows, hash) a text has. Of rows that share a doc_id, another may be meant."""
     if len(h) < window:
         return np.zeros(len(start), bool)
-    at, first, count = anchors(h, window)
+    at, first, count, _ = anchors(h, window)
     i = np.minimum(np.searchsorted(first, start), len(first) - 1)
     return (first[i] == start) & (count[i] == n) & (_prints(h, at[i], first[i], count[i], window) == c)
 
@@ -187,11 +183,11 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "c", "first", "least", "lows")).alias("marks"))
 
 
-def covered(words: list[bytes], doc_id: int, marks: dict, window: int, hashes: WordHashes) -> np.ndarray:
-    """Which words lie in a window that starts in an earlier document."""
-    out = np.zeros(len(words) + 1, np.int64)
+def covered(h: np.ndarray, doc_id: int, marks: dict, window: int) -> np.ndarray:
+    """Which words, given by their hashes, lie in a window that starts in an earlier document."""
+    out = np.zeros(len(h) + 1, np.int64)
     start, n, first = marks["start"], marks["n"], marks["first"]
-    own = _holds(hashes.of(words), start, n, marks["c"], window)
+    own = _holds(h, start, n, marks["c"], window)
     plain, others = np.asarray(marks["plain"], bool), iter(marks["others"])
     # all windows start in the same earlier document
     whole = own & plain & (first < doc_id)
@@ -212,12 +208,11 @@ def covered(words: list[bytes], doc_id: int, marks: dict, window: int, hashes: W
 
 def _apply(window: int, digest: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for b in batches:
             out = []
             for doc_id, text, *marks in zip(b["doc_id"], b["text"], *(b[x] for x in MARK), strict=True):
-                words = _words(text)
-                gone = covered(words, doc_id, dict(zip(MARK, marks, strict=True)), window, hashes) if marks[0] is not None else np.zeros(len(words), bool)
+                words = _bytes(text).split()
+                gone = covered(word_hashes(_bytes(text)), doc_id, dict(zip(MARK, marks, strict=True)), window) if marks[0] is not None else np.zeros(len(words), bool)
                 kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g) if gone.any() else b" ".join(words)
                 out.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept"]).astype({"doc_id": "Int64"})
