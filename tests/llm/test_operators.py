@@ -246,6 +246,20 @@ def test_licences(spark):
     assert [r["licences"] for r in got] == ["Apache-2.0", "MIT", "", "", "", "proprietary"] and got[5]["n_matches"] == 2
 
 
+def test_every_licence_line_of_the_fixture_is_found(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("text")).where("text rlike '(?i)licen[cs]|copyright|rights reserved'")
+    lines = lines.select("text").distinct()
+    assert lines.count() >= 5
+    assert [r["text"] for r in licences.scan(lines).where("size(licences) = 0").collect()] == []
+
+
+def test_gnu_notices(spark):
+    texts = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under the GNU Affero General Public License v3.0", "Licensed under the BSD 3-Clause License."]
+    got = licences.licence_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert [(r["licences"], r["best_dice"]) for r in got] == [("GPL-3.0-notice", 1.0), ("LGPL-2.1-short", 1.0), ("AGPL-3.0-v", 1.0), ("BSD-3-Clause-short", 1.0)]
+
+
 @pytest.mark.parametrize("run", [jaccard.components, packing.pack, quality.quality, substrings.dedup_digest, langid.langid_digest, pii.pii_digest, mixing.mix_digest, licences.licence_digest])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
