@@ -176,6 +176,22 @@ def test_langid(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_langid_reads_whole_runs(spark):
+    for n in range(1, 200):
+        w = "".join(chr(0x4E00 + i) for i in range(n))
+        for o in langid.ORDERS:
+            assert [g for part in langid.slices_of(w) for g in langid.grams_of(part, o)] == [f"^{w}$"[i : i + o] for i in range(n + 3 - o)]
+    r = random.Random(6)
+    run = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    learnt = [(l, run(x, 300)) for l, x in (("aa", "abcd"), ("bb", "wxyz")) for _ in range(20)]
+    # the first 40 letters, or the training texts' first 40, say the other language
+    learnt += [("aa", "qrst" * 10 + run("klmn", 400)), ("bb", "mnop" * 10 + run("efgh", 400))]
+    model = langid.fit(spark.createDataFrame(learnt, "lang string, text string").coalesce(1))
+    score = model.scorer()
+    assert score("abcd" * 10 + run("wxyz", 2000))[0] == "bb" and score("wxyz" * 10 + run("abcd", 2000))[0] == "aa"
+    assert score(run("klmn", 30))[0] == "aa" and score(run("efgh", 30))[0] == "bb"
+
+
 def test_chat(spark):
     rows = [(1, 1, "user", "a"), (1, 2, "bot", "b"), (2, 1, "user", "a"), (2, 2, "bot", "b"), (2, 3, "user", "c"), (3, 1, "user", "a"), (3, 2, "bot", "b"), (3, 3, "user", "c")]
     rows += [(4, 1, None, None), (4, 1, None, None), (None, 1, "user", "a"), (5, 1, "user", "a")]

@@ -22,7 +22,9 @@ WORDS = re.compile(r"[^\W\d_]+")
 MAX_WORDS, MAX_GRAMS, MAX_LANGS = 20_000, 10_000, 300
 ORDERS = (5, 4, 3, 2, 1)
 FLUSH = 300_000
+#: A longer run of letters is read in slices, each of which speaks like one unseen word.
 LONGEST = 40
+STARTS = LONGEST + 2
 #: Numbers in the matrix of words that a scorer has met.
 CELLS = 2_000_000
 
@@ -49,10 +51,16 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
-def grams_of(word: str, order: int) -> list[str]:
-    """The n-grams of a word with its ends marked; one that is too short has none."""
-    w = f"^{word[:LONGEST]}$"
-    return [w[i : i + order] for i in range(len(w) - order + 1)]
+def slices_of(word: str) -> list[str]:
+    """A word with its ends marked, in slices that share letters, so that each n-gram starts in one slice and lies whole in it."""
+    w = f"^{word}$"
+    return [w[i : i + STARTS + ORDERS[0] - 1] for i in range(0, max(1, len(w) - ORDERS[0] + 1), STARTS)]
+
+
+def grams_of(part: str, order: int) -> list[str]:
+    """The n-grams that start in a slice; one that is too short has none."""
+    n = len(part) - order + 1
+    return [part[i : i + order] for i in range(n if part.endswith("$") else min(n, STARTS))]
 
 
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,10 +73,13 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for lang, word, n in zip(batch["lang"], batch["word"], batch["n"], strict=True):
-            for o in ORDERS:
-                c = counts.setdefault((lang, o), Counter())
-                for g in grams_of(word, o):
-                    c[g] += n
+            for k, part in enumerate(slices_of(word)):
+                for o in ORDERS:
+                    c = counts.setdefault((lang, o), Counter())
+                    for g in grams_of(part, o):
+                        c[g] += n
+                if k % 1000 == 999 and sum(map(len, counts.values())) > FLUSH:
+                    yield flush()
         if sum(map(len, counts.values())) > FLUSH:
             yield flush()
     yield flush()
@@ -81,27 +92,36 @@ class Model:
         self.langs, self.words, self.grams, self.matrix = langs, words, grams, matrix
 
     def parts(self, w: str) -> tuple[list[int], float]:
-        """The rows that speak for one lower-case word and the weight of each: its own, or those of its longest known n-grams."""
+        """The rows that speak for one lower-case word and the weight of each: its own, or those of its longest known n-grams.
+
+        A slice of a longer run comes with a space before it, which no word holds.
+        """
         if (known := self.words.get(w)) is not None:
             return [known], 1.0
-        w = f"^{w[:LONGEST]}$"
+        part = w[1:] if w.startswith(" ") else f"^{w}$"
         for o in ORDERS:
             table_of = self.grams[o]
-            found = [table_of[g] for i in range(len(w) - o + 1) if (g := w[i : i + o]) in table_of]
+            found = [table_of[g] for g in grams_of(part, o) if g in table_of]
             if found:
                 # n-grams say less than a whole word, and shorter ones less still
                 return found, o / (ORDERS[0] + 1) / len(found)
         return [], 0.0
 
+    def split(self, words: list[str]) -> list[str]:
+        """The words, but unknown ones of over LONGEST letters as their slices."""
+        if max(map(len, words)) <= LONGEST:
+            return words
+        return [x for w in words for x in ([w] if len(w) <= LONGEST or w in self.words else [f" {part}" for part in slices_of(w)])]
+
     def scorer(self):
         """text -> (language, score from 0 to 1)."""
         known = KnownWords(self)
-        step = max(1, CELLS // (LONGEST * max(1, len(self.langs))))
+        step = max(1, CELLS // ((STARTS + ORDERS[0]) * max(1, len(self.langs))))
 
         def score(text: str | None) -> tuple[str, float]:
             if not text or not self.langs or not LETTER.search(text):
                 return "und", 0.0
-            words = WORDS.findall(text.lower())
+            words = self.split(WORDS.findall(text.lower()))
             total = np.zeros(len(self.langs))
             for i in range(0, len(words), step):
                 total += known.of(words[i : i + step])
@@ -126,7 +146,7 @@ class KnownWords(dict):
         return at
 
     def of(self, words: list[str]) -> np.ndarray:
-        """The sum over words, of which there are at most as many as rows. A word has up to LONGEST n-grams, so callers pass slices."""
+        """The sum over words, of which there are at most as many as rows. A word or slice has at most STARTS + 4 n-grams, so callers pass slices."""
         if len(self) + len(words) > len(self.rows):
             self.clear()
         self.fresh = []
