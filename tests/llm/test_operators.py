@@ -192,6 +192,18 @@ def test_langid_reads_whole_runs(spark):
     assert score(run("klmn", 30))[0] == "aa" and score(run("efgh", 30))[0] == "bb"
 
 
+def test_langid_keeps_every_word_and_language(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "".join(letters[i // 26**k % 26] for k in range(4))
+    model = langid.fit(spark.createDataFrame([(l, " ".join(word(k + i) for i in range(20_001))) for l, k in (("aa", 0), ("bb", 100_000))], "lang string, text string").coalesce(1))
+    assert all(word(k + i) in model.words for k in (0, 100_000) for i in range(20_001))
+    assert {f"^{word(i)}$"[j : j + 5] for i in range(20_001) for j in range(2)} <= set(model.grams[5])
+    score = model.scorer()
+    assert score(f"{word(7)} {word(20_000)}")[0] == "aa" and score(f"{word(100_007)} {word(120_000)}")[0] == "bb"
+    model = langid.fit(spark.createDataFrame([(f"l{i:03}", f"{word(30_000 + i)} {word(40_000 + i)} {word(50_000 + i)}") for i in range(310)], "lang string, text string").coalesce(1))
+    assert len(model.langs) == 310 and model.scorer()(f"{word(30_309)} {word(40_309)}")[0] == "l309"
+
+
 def test_chat(spark):
     rows = [(1, 1, "user", "a"), (1, 2, "bot", "b"), (2, 1, "user", "a"), (2, 2, "bot", "b"), (2, 3, "user", "c"), (3, 1, "user", "a"), (3, 2, "bot", "b"), (3, 3, "user", "c")]
     rows += [(4, 1, None, None), (4, 1, None, None), (None, 1, "user", "a"), (5, 1, "user", "a")]

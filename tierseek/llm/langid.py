@@ -10,16 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierseek.llm.common import table
 
 LETTER = re.compile(r"[^\W\d_]")
 WORDS = re.compile(r"[^\W\d_]+")
-#: The model holds at most so many words and n-grams of each length for each of at most so many languages.
-MAX_WORDS, MAX_GRAMS, MAX_LANGS = 20_000, 10_000, 300
 ORDERS = (5, 4, 3, 2, 1)
 FLUSH = 300_000
 #: A longer run of letters is read in slices, each of which speaks like one unseen word.
@@ -86,7 +85,7 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Model:
-    """Log frequencies by language, one row of a matrix for each word and n-gram. At most MAX_* entries of each."""
+    """Log frequencies by language, one row of a matrix for each word and n-gram that was seen."""
 
     def __init__(self, langs: list[str], words: dict[str, int], grams: dict[int, dict[str, int]], matrix: np.ndarray):
         self.langs, self.words, self.grams, self.matrix = langs, words, grams, matrix
@@ -172,52 +171,39 @@ def _rows(found, key: str, langs: list[str], totals: dict[str, float], prior: fl
     """Entries, and for each log((n + prior) / total) by language, less the mean over languages. found: an Arrow table."""
     entries = pc.dictionary_encode(found[key].combine_chunks())
     n = np.zeros((len(entries.dictionary), len(langs)))
-    at = {x: i for i, x in enumerate(langs)}
-    n[entries.indices.to_numpy(), [at[x] for x in found["lang"].to_pylist()]] = found["n"].to_numpy()
-    size = np.array([max(1.0, totals.get(x, 1.0)) for x in langs])
-    out = np.log((n + prior) / (size + prior))
-    return entries.dictionary.to_pylist(), (out - out.mean(axis=1, keepdims=True)).astype(np.float32)
+    n[entries.indices.to_numpy(), pc.index_in(found["lang"].combine_chunks(), pa.array(langs, found["lang"].type)).to_numpy()] = found["n"].to_numpy()
+    n += prior
+    n /= np.array([max(1.0, totals.get(x, 1.0)) for x in langs]) + prior
+    np.log(n, out=n)
+    n -= n.mean(axis=1, keepdims=True)
+    return entries.dictionary.to_pylist(), n.astype(np.float32)
 
 
-def fit(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def fit(docs: DataFrame) -> Model:
     """Learn from all rows of (text, lang) with a language and a text.
 
-    Counts cover every word of every row. The model keeps, for each language, its max_words commonest words and its
-    max_grams commonest n-grams of each length, so its size doesn't grow with the input.
+    Counts cover every word of every row, and the model keeps every language, word and n-gram with them. So it grows with the
+    number of distinct entries times the number of languages, on the driver and on each Python worker.
     """
     seen = docs.where("lang is not null and text is not null").select("lang", "text")
     words = table(seen.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    # which languages: the largest MAX_LANGS
-    totals = {r[0]: float(r[1]) for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    totals = {r[0]: float(r[1]) for r in words.groupBy("lang").agg(F.sum("n")).collect()}
     langs = sorted(totals)
     if not langs:
         return Model([], {}, {o: {} for o in ORDERS}, np.zeros((0, 0)))
-    words = words.where(F.col("lang").isin(langs))
     grams = table(words.mapInPandas(_count_grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
-    # an entry that is common in one language gets its counts in all of them
-    common = _commonest(words, ["lang"], max_words).select("word").distinct()
-    entries, matrix = _rows(words.join(common, "word", "left_semi").toArrow(), "word", langs, totals)
+    entries, matrix = _rows(words.toArrow(), "word", langs, totals)
     index, blocks, n = {w: i for i, w in enumerate(entries)}, [matrix], len(entries)
-    common = _commonest(grams, ["lang", "size"], max_grams).select("size", "gram").distinct()
-    found = grams.join(common, ["size", "gram"], "left_semi").toArrow()
     gram_totals = {(r[0], r[1]): float(r[2]) for r in grams.groupBy("lang", "size").agg(F.sum("n")).collect()}
     gram_index = {}
     for o in ORDERS:
-        entries, matrix = _rows(found.filter(pc.equal(found["size"], o)), "gram", langs, {x: gram_totals.get((x, o), 1.0) for x in langs})
+        entries, matrix = _rows(grams.where(F.col("size") == o).toArrow(), "gram", langs, {x: gram_totals.get((x, o), 1.0) for x in langs})
         gram_index[o] = {g: n + i for i, g in enumerate(entries)}
         blocks.append(matrix)
         n += len(entries)
     return Model(langs, index, gram_index, np.concatenate(blocks))
 
 
-def _commonest(df: DataFrame, by: list[str], most: int) -> DataFrame:
-    """Rows of each group with a count above the most-th largest (or all, if fewer): counts of counts decide, not a sort."""
-    tally = df.groupBy(*by, "n").agg(F.count(F.lit(1)).alias("k"))
-    down = Window.partitionBy(*by).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    least = tally.withColumn("c", F.sum("k").over(down)).where(F.col("c") <= most).groupBy(*by).agg(F.min("n").alias("least"))
-    return df.join(F.broadcast(least), by).where("n >= least")
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score. Only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
