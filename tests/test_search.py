@@ -2,6 +2,7 @@
 
 from tierseek.functions import fold as T
 from tierseek.operators.search import FieldSpec, FuzzyIndex
+from tierseek.plans import catalog
 
 
 def test_order_and_null(spark):
@@ -23,3 +24,13 @@ def test_fold_column_equals_string(spark):
     texts = ["Café ŁÓDŹ", "ΤΕΛΟΣ ς", "  “x” ’s ", "İstanbul", "Café", "𐐀 ß đ ø"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
     assert [r[0] for r in df.select(T.normalise_text(df.t)).collect()] == [T.fold_str(t) for t in texts]
+
+
+def test_catalogue_searches_every_row_of_part(spark, tmp_path):
+    rows = [(i, "another widget") for i in range(1, 12)] + [(12, "blue widget"), (13, "wigdet"), (14, "red gadget"), (15, "red gadget")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = catalog.QUERIES["search_many"](spark, str(tmp_path)).collect()
+    got = {q: [(r["rank"], r["p_partkey"]) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in "abc"}
+    assert got == {"a": [(1, 14), (2, 15)], "b": [(1, 12)], "c": [(i, i) for i in range(1, 11)]}
+    # blue widget comes first for blue and twelfth for widget
+    assert catalog.QUERIES["mrr"](spark, str(tmp_path)).collect()[0]["mrr"] == 0.333333

@@ -132,13 +132,12 @@ class SearchSession:
 
 def search_many(index: FuzzyIndex, queries: dict[str, str], limit: int | None = None) -> DataFrame:
     """query_id, rank, score and the row, for each of a bounded list of queries. Ranks restart with each query."""
-    parts = [index.search(text).drop("fields").withColumn("query_id", F.lit(name)) for name, text in queries.items()]
+    parts = [index.search(text, limit).drop("fields").withColumn("query_id", F.lit(name)) for name, text in queries.items()]
     if not parts:
         return index.empty().drop("fields").withColumns({"query_id": F.lit(""), "rank": F.lit(0)})
     found = reduce(DataFrame.unionByName, parts)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", *index.key))
-    out = found.withColumn("rank", rank)
-    return out if limit is None else out.where(F.col("rank") <= limit)
+    return found.withColumn("rank", rank)
 
 
 def mrr(ranked: DataFrame, wanted: dict[str, object], column: str, at: int = 10) -> DataFrame:
