@@ -1,11 +1,12 @@
-"""Substring dedup over prefix-partitioned suffix trees.
+"""Substring dedup by naming equal windows around sampled anchors.
 
 A window of ``window`` words is represented by its anchor: the GRAM-word run in it with the least hash. Equal windows have
 equal anchors at equal places, so suffixes only need to meet where an anchor recurs, which leaves about 2 / (window - GRAM)
 of all positions to shuffle. The words around an anchor that its windows reach are its context. Equal contexts collapse to one with
-the smallest doc_id, so copies cost one row each and no tree. Different contexts of an anchor meet in a suffix tree; anchors
-are the prefixes that split the suffixes into groups of a bounded number of words, and an anchor with too many contexts is split
-by the longest prefix there is, the whole window.
+the smallest doc_id, so copies cost one row each and no naming. Different contexts of an anchor meet in one group, where prefix
+doubling names equal windows: the one level of a suffix tree that is asked for, without a tree, inner nodes or maximal repeats.
+Anchors have a fixed length and are dealt by hash into groups of a bounded number of words; the windows of an anchor with too
+many contexts are grouped by their hashes instead.
 """
 
 from __future__ import annotations
@@ -102,9 +103,9 @@ def _holds(h: np.ndarray, start: np.ndarray, n: np.ndarray, c: np.ndarray, windo
 
 
 def tree_level(words: np.ndarray, depth: int) -> np.ndarray:
-    """For each suffix, the name of its node at the given depth of the suffix tree.
+    """For each suffix, a name for its first words, as many as depth: the node it would pass at that depth of a suffix tree.
 
-    Levels double: two suffixes pass through the same node at depth a + b if they do at depth a and, a words on, at depth b.
+    Levels double: two suffixes get the same name at depth a + b if they do at depth a and, a words on, at depth b.
     Suffixes that are too short get names that are not to be used.
     """
     _, name = np.unique(words, return_inverse=True)
@@ -118,7 +119,7 @@ def tree_level(words: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _tree(window: int):
-    """Least doc_id over the leaves below each window's node, for all contexts of a group of anchors."""
+    """Least doc_id over the equal windows of each name, for all contexts of a group of anchors."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         words = np.frombuffer(b"".join(rows["words"]), U64)
