@@ -1,12 +1,14 @@
 """Each operator against brute force, on texts with nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tierseek.llm import chat, jaccard, langid, licences, mixing, packing, pii, quality, substrings, topk
@@ -186,22 +188,77 @@ def test_langid_reads_whole_runs(spark):
     learnt = [(l, run(x, 300)) for l, x in (("aa", "abcd"), ("bb", "wxyz")) for _ in range(20)]
     # the first 40 letters, or the training texts' first 40, say the other language
     learnt += [("aa", "qrst" * 10 + run("klmn", 400)), ("bb", "mnop" * 10 + run("efgh", 400))]
-    model = langid.fit(spark.createDataFrame(learnt, "lang string, text string").coalesce(1))
-    score = model.scorer()
-    assert score("abcd" * 10 + run("wxyz", 2000))[0] == "bb" and score("wxyz" * 10 + run("abcd", 2000))[0] == "aa"
-    assert score(run("klmn", 30))[0] == "aa" and score(run("efgh", 30))[0] == "bb"
+    asked = ["abcd" * 10 + run("wxyz", 2000), "wxyz" * 10 + run("abcd", 2000), run("klmn", 30), run("efgh", 30)]
+    assert [x for x, _ in identified(spark, learnt, asked)] == ["bb", "aa", "aa", "bb"]
 
 
-def test_langid_keeps_every_word_and_language(spark):
+def identified(spark, learnt, asked):
+    rows = [(i, l, t, True) for i, (l, t) in enumerate(learnt)] + [(10**6 + i, None, t, False) for i, t in enumerate(asked)]
+    df = spark.createDataFrame(rows, "id long, lang string, text string, teaches boolean").coalesce(3)
+    got = {r["id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, F.col("teaches"), ["id"]).collect()}
+    assert len(got) == len(rows)
+    return [got[10**6 + i] for i in range(len(asked))]
+
+
+def test_langid_keeps_every_word_and_language(spark, monkeypatch):
     letters = "abcdefghijklmnopqrstuvwxyz"
     word = lambda i: "".join(letters[i // 26**k % 26] for k in range(4))
-    model = langid.fit(spark.createDataFrame([(l, " ".join(word(k + i) for i in range(20_001))) for l, k in (("aa", 0), ("bb", 100_000))], "lang string, text string").coalesce(1))
-    assert all(word(k + i) in model.words for k in (0, 100_000) for i in range(20_001))
-    assert {f"^{word(i)}$"[j : j + 5] for i in range(20_001) for j in range(2)} <= set(model.grams[5])
-    score = model.scorer()
-    assert score(f"{word(7)} {word(20_000)}")[0] == "aa" and score(f"{word(100_007)} {word(120_000)}")[0] == "bb"
-    model = langid.fit(spark.createDataFrame([(f"l{i:03}", f"{word(30_000 + i)} {word(40_000 + i)} {word(50_000 + i)}") for i in range(310)], "lang string, text string").coalesce(1))
-    assert len(model.langs) == 310 and model.scorer()(f"{word(30_309)} {word(40_309)}")[0] == "l309"
+    learnt = [(l, " ".join(word(k + i) for i in range(20_001))) for l, k in (("aa", 0), ("bb", 100_000))]
+    asked = [f"{word(7)} {word(20_000)}", f"{word(100_007)} {word(120_000)}"]
+    assert [x for x, _ in identified(spark, learnt, asked)] == ["aa", "bb"]
+    learnt = [(f"l{i:03}", f"{word(30_000 + i)} {word(40_000 + i)} {word(50_000 + i)}") for i in range(310)]
+    asked = [f"{word(30_000 + i)} {word(40_000 + i)}" for i in range(310)]
+    assert [x for x, _ in identified(spark, learnt, asked)] == [f"l{i:03}" for i in range(310)]
+
+
+def brute_langid(learnt, asked):
+    """(language, score) of texts, by dictionaries: word frequencies, else those of the longest n-grams that were seen."""
+    runs = lambda t: regex.findall(r"\p{L}+", t.lower())
+    words, grams = {}, {}
+    for lang, text in learnt:
+        for w in runs(text):
+            n = words.setdefault(w, {})
+            n[lang] = n.get(lang, 0) + 1
+            for o in range(1, 6):
+                for i in range(len(w) + 3 - o):
+                    n = grams.setdefault((o, f"^{w}$"[i : i + o]), {})
+                    n[lang] = n.get(lang, 0) + 1
+    langs = sorted({l for l, _ in learnt})
+    whole = {l: sum(n.get(l, 0) for n in words.values()) for l in langs}
+    parts = {(o, l): sum(n.get(l, 0) for (x, _), n in grams.items() if x == o) for o in range(1, 6) for l in langs}
+    out = []
+    for text in asked:
+        total, found = dict.fromkeys(langs, 0.0), runs(text or "")
+        for w in found:
+            if w in words:
+                for l in langs:
+                    total[l] += math.log((words[w].get(l, 0) + 0.5) / (max(1, whole[l]) + 0.5))
+                continue
+            for o in range(5, 0, -1):
+                known = [grams[o, g] for i in range(len(w) + 3 - o) if (o, (g := f"^{w}$"[i : i + o])) in grams]
+                if known:
+                    for l in langs:
+                        total[l] += o / 6 / len(known) * sum(math.log((n.get(l, 0) + 0.5) / (max(1, parts[o, l]) + 0.5)) for n in known)
+                    break
+        top = max(total.values())
+        out.append((min(l for l in langs if total[l] == top), 1 / sum(math.exp((x - top) / max(1, len(found) ** 0.5)) for x in total.values())) if found else ("und", 0.0))
+    return out
+
+
+@pytest.mark.parametrize("head", [200_000, 40, 0])
+def test_langid_equals_brute_force(spark, monkeypatch, head):
+    """With all units broadcast, some and none: the same languages and scores."""
+    monkeypatch.setattr(langid, "HEAD", head)
+    r = random.Random(8)
+    make = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(1, 9)))
+    vocab = {"de": [make("abcdeäöü") for _ in range(150)], "en": [make("abcdefgh") for _ in range(150)], "fr": [make("cdefghéè") for _ in range(150)]}
+    text = lambda l, fresh: " ".join(make("abcdefghäé") if r.random() < fresh else r.choice(vocab[l]) for _ in range(r.randint(1, 60)))
+    learnt = [(l, text(l, 0.05)) for l in vocab for _ in range(25)]
+    asked = [text(r.choice([*vocab]), 0.5) for _ in range(150)] + ["zzz yyy", "ab² ½ cd", "²", "Ⅳ", "½ 12 _", "", None, "xx"]
+    want, got = brute_langid(learnt, asked), identified(spark, learnt, asked)
+    for t, (l, p), (lang, score) in zip(asked, want, got, strict=True):
+        assert score == pytest.approx(p, abs=1e-9) and (lang == l or abs(p) < 0.5), t
+    assert [got[-5 - i][0] for i in range(2)] == ["und"] * 2 and got[-6][0] == "und"
 
 
 def test_chat(spark):
@@ -260,6 +317,26 @@ def test_mixing(docs, rows):
     assert mixing.mix(docs).columns == docs.columns
 
 
+def test_mixing_comes_near_its_targets(spark, monkeypatch):
+    """Sources of 50 documents and more are within 0.5 % of their targets, in one block or several levels of them."""
+    monkeypatch.setattr(mixing, "BLOCK", 60)
+    r = random.Random(21)
+    rows = [(10_000 * s + i, " ".join(["w"] * (min(5000, int(r.paretovariate(0.9) * 20)) if r.random() < 0.9 else r.randrange(3000))), "en", f"s{s:02}", 0) for s, n in enumerate([50, 50, 55, 80, 200, 900, 1500]) for i in range(n)]
+    got = mixing.mix_digest(spark.createDataFrame(rows, SCHEMA).coalesce(3)).collect()
+    taken, target = {}, {}
+    for x in got:
+        s = x["doc_id"] // 10_000
+        taken[s], target[s] = taken.get(s, 0) + x["taken"], x["target"]
+        assert x["taken"] in (0, x["size"], 2 * x["size"])
+    assert all(abs(taken[s] - target[s]) <= 0.005 * target[s] for s in taken), [(taken[s], target[s]) for s in taken]
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 7, "x"), (1, "a b", "s", 8, "y"), (None, None, None, 9, "z")], "doc_id long, text string, source string, size int, copies string")
+    got = mixing.mix(df)
+    assert got.columns == df.columns and {(r["size"], r["copies"]) for r in got.collect()} <= {(7, "x"), (8, "y")}
+
+
 def test_pivotal_keeps_the_sum():
     r = random.Random(9)
     sizes, p = [r.randrange(1, 50) for _ in range(200)], [r.random() for _ in range(200)]

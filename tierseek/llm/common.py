@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,25 +22,66 @@ GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
-    found = spark.sparkContext.getCheckpointDir()
-    named = spark.conf.get("spark.checkpoint.dir", None) or found
+    """The folder named in spark.checkpoint.dir; a temporary one only where a local session names none (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tierseek-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+#: Paths of the tables written in the innermost open scope; None outside of any.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
 def table(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back. Removed when the JVM ends."""
+    """Cut the lineage: write df as Parquet in the shared folder and read it back.
+
+    The files go when the innermost scratch() around the call ends, or when the JVM does.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tierseek-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/tierseek-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more, and let Spark free the shuffle files of the plans that read them."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator:
+    """A scope for table(): what is written in it is deleted at its end, also after an error.
+
+    Yields keep(df), which writes df as a table of the scope around and returns it; only such results may leave.
+    """
+    paths: list[str] = []
+    token = _scope.set(paths)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept = table(df)
+        outer = token.old_value if isinstance(token.old_value, list) else None
+        (outer if outer is not None else []).append(paths.pop())
+        return kept
+
+    try:
+        yield keep
+    finally:
+        _scope.reset(token)
+        drop_tables(spark, paths)
+
+
 #: Places of a filter of ids: 2^26 bits, 8 MB at most however many ids there are.
 PLACES, PER_ROW = 1 << 26, 1 << 15
 

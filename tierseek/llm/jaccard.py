@@ -16,13 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierseek.llm.common import U64, among, gram_hashes, mix, table, word_hashes
+from tierseek.llm.common import U64, among, gram_hashes, mix, scratch, table, word_hashes
 from tierseek.llm.graph import min_labels
 
 FLUSH = 500_000
 PER_BUCKET = 150_000
 #: Groups of candidates up to this size are compared pair by pair; larger ones block by block.
 SMALL, BLOCK = 40, 256
+#: Texts of one component that are dealt to one task together.
+TOGETHER = 500
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -221,6 +223,61 @@ def _memberships(k: int, scheme: Scheme):
     return run
 
 
+def _spans(k: int, scheme: Scheme, buckets: int):
+    """Blocks (bucket, sigs, low, high): signatures met once each, with the least and greatest component of their texts.
+
+    Texts of a component come one after the other and share most signatures, so a block holds few more than one of them would.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, held, limit = [], 0, FLUSH
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            sigs, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+            found, at = np.unique(sigs, return_inverse=True)
+            lows, highs = np.full(len(found), np.iinfo(np.int64).max), np.full(len(found), np.iinfo(np.int64).min)
+            np.minimum.at(lows, at, low)
+            np.maximum.at(highs, at, high)
+            return found, lows, highs
+
+        def flush() -> pd.DataFrame:
+            found, lows, highs = merged()
+            parts.clear()
+            at = (found >> U64(20)) % U64(buckets)
+            order = np.argsort(at, kind="stable")
+            ends = np.searchsorted(at[order], np.arange(buckets + 1, dtype=U64))
+            rows = [(i, *(x[order[a:b]].tobytes() for x in (found, lows, highs))) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
+            return pd.DataFrame(rows, columns=["bucket", "sigs", "low", "high"])
+
+        for b in batches:
+            for comp, text in zip(b["comp"], b["text"], strict=True):
+                s = scheme.signatures(shingles(text, k))
+                parts.append((s, np.full(len(s), comp, np.int64), np.full(len(s), comp, np.int64)))
+                held += len(s)
+                if held >= limit:
+                    parts[:] = [merged()]
+                    held = len(parts[0][0])
+                    limit = max(FLUSH, 2 * held)
+                    if held >= FLUSH:
+                        yield flush()
+                        held, limit = 0, FLUSH
+        if parts:
+            yield flush()
+
+    return run
+
+
+def _open_signatures(rows: pd.DataFrame) -> pd.DataFrame:
+    """The signatures of one bucket with more than one component. It has at most one row for each flush of each partition."""
+    join = lambda c, t: np.frombuffer(b"".join(rows[c]), t)
+    found, at = np.unique(join("sigs", U64), return_inverse=True)
+    low, high = join("low", np.int64), join("high", np.int64)
+    lows, highs = np.full(len(found), np.iinfo(np.int64).max), np.full(len(found), np.iinfo(np.int64).min)
+    np.minimum.at(lows, at, low)
+    np.maximum.at(highs, at, high)
+    return pd.DataFrame({"sig": found[lows < highs].astype(np.int64)})
+
+
 def _block_links(k: int, scheme: Scheme):
     """Links between the outsiders of one block and the rows of another; shingles become columns of a 0/1 matrix."""
 
@@ -256,11 +313,12 @@ def links(docs: DataFrame, words: int = 3, similarity: tuple[int, int] = (90, 10
     buckets = max(12, int(total * 2 * share / PER_BUCKET))
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
     kinds = "doc_id long, no_id boolean, n_shingles long, fa long, fb long, bucket int, sigs binary, nodes binary, pairs binary"
-    both = table(rows.mapInPandas(_describe(words, scheme, buckets), kinds))
-    described = both.where("bucket is null").select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_shingles", "fa", "fb")
+    with scratch(docs.sparkSession) as keep:  # the blocks of signatures go as soon as their pairs are known
+        both = table(rows.mapInPandas(_describe(words, scheme, buckets), kinds))
+        blocks = both.where("bucket is not null").select(*BLOCKS)
+        met = keep(blocks.groupBy("bucket").applyInPandas(_meet, "a long, b long").distinct())
+        described = keep(both.where("bucket is null").select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_shingles", "fa", "fb"))
     known = docs.where("doc_id is not null and text is not null")
-    blocks = both.where("bucket is not null").select(*BLOCKS)
-    met = table(blocks.groupBy("bucket").applyInPandas(_meet, "a long, b long").distinct())
     # copies of a set
     classes = described.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "fa", "fb").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = described.join(classes, ["n_shingles", "fa", "fb"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -288,16 +346,17 @@ def links(docs: DataFrame, words: int = 3, similarity: tuple[int, int] = (90, 10
     edges = table(tested.where("linked").select("a", "b").union(copies))
     labels = min_labels(edges)
 
-    def mixed() -> DataFrame:
-        """sig, node, comp, m: the members of signatures with more than one component."""
-        found = members.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).select("sig", "node", "comp")
-        open_sigs = found.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
-        return found.join(open_sigs.select("sig", "m"), "sig")
-
-    members = texts.mapInPandas(_memberships(words, scheme), "sig long, node long")
-    again = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig")
-    members = table(members.join(again, "sig"))
-    still = table(mixed())
+    # texts of a component side by side, those of a large one in several tasks
+    spread = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("tasks"))
+    placed = texts.join(labels.join(spread, "label"), texts["doc_id"] == labels["node"], "left")
+    placed = placed.select(F.coalesce("label", "doc_id").alias("comp"), F.pmod(F.xxhash64("doc_id"), F.coalesce("tasks", F.lit(1))).alias("task"), "text")
+    placed = placed.repartition("comp", "task").sortWithinPartitions("comp")
+    spans = placed.mapInPandas(_spans(words, scheme, buckets), "bucket int, sigs binary, low binary, high binary")
+    open_sigs = table(spans.groupBy("bucket").applyInPandas(_open_signatures, "sig long"))
+    # only members of signatures that hold two components are shuffled
+    members = among(texts.mapInPandas(_memberships(words, scheme), "sig long, node long"), "sig", open_sigs).distinct()
+    found = members.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).select("sig", "node", "comp")
+    still = table(found.join(found.groupBy("sig").agg(F.count(F.lit(1)).alias("m")), "sig"))
     small = still.where(F.col("m") <= SMALL)
     groups = small.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("node", "comp"))).alias("g"))
     each = groups.select(F.explode("g").alias("x"), "g").select("x", F.explode(F.filter("g", lambda y: (y["node"] > F.col("x")["node"]) & (y["comp"] != F.col("x")["comp"]))).alias("y"))
@@ -307,7 +366,7 @@ def links(docs: DataFrame, words: int = 3, similarity: tuple[int, int] = (90, 10
     if more.limit(1).count():
         edges = table(edges.union(more))
         labels = min_labels(edges)
-    large = members.join(still.where(F.col("m") > SMALL).select("sig").distinct(), "sig")
+    large = still.where(F.col("m") > SMALL).select("sig", "node")
     if large.limit(1).count():
         edges = table(edges.union(_large_groups(large, labels, texts, words, scheme)))
         labels = min_labels(edges)
@@ -328,7 +387,7 @@ def _large_groups(large: DataFrame, labels: DataFrame, texts: DataFrame, words:
     sizes = rows.groupBy("g", "comp").count()
     top = sizes.groupBy("g").agg(F.max(F.struct("count", "comp")).alias("t"), F.sum("count").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
     top = top.select("g", F.col("t.comp").alias("top"), F.ceil((F.col("m") - F.col("t.count")) / BLOCK).alias("n_out"), F.ceil(F.col("m") / BLOCK).alias("n_all"))
-    rows = rows.join(top, "g").join(texts.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"), "node")
+    rows = rows.join(top, "g").join(texts.dropDuplicates(["doc_id", "text"]).withColumnRenamed("doc_id", "node"), "node")
     spot = lambda n: F.pmod(F.xxhash64("node"), n)
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     out = rows.where("comp <> top").withColumn("o", spot(F.col("n_out"))).withColumn("i", span("n_all")).withColumn("side", F.lit(0))
@@ -345,12 +404,14 @@ def components(docs: DataFrame, words: int = 3, similarity: tuple[int, int] = (9
     component_id is the smallest doc_id that links reach. Rows that share a doc_id are one document to links. A null doc_id
     has no links and a null component. An empty table gives no rows; other columns are ignored.
     """
-    described, labels = links(docs, words, similarity)
-    found = described.join(labels, described.doc_id == labels.node, "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "doc_id")).alias("component_id"))
+    with scratch(docs.sparkSession) as keep:
+        described, labels = links(docs, words, similarity)
+        found = described.join(labels, described.doc_id == labels.node, "left")
+        return keep(found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "doc_id")).alias("component_id")))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """docs without the rows whose near-duplicate component has a smaller doc_id. All rows without shingles stay."""
-    drop = components(docs, words, similarity).where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    with scratch(docs.sparkSession) as keep:
+        drop = keep(components(docs, words, similarity).where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct())
     return docs.join(drop, docs["doc_id"] == drop["__id"], "left_anti")

@@ -1,48 +1,90 @@
-"""Language identification: known words by their per-language log frequency, unseen ones by ever shorter character n-grams."""
+"""Language identification: known words by their per-language log frequency, unseen ones by ever shorter character n-grams.
+
+A text's units are its words and, of runs of over LONGEST letters, their slices. Every distinct unit of the table is counted once
+and given what it says for each language: its own log frequencies if it is a known word, else those of the longest n-grams of it that were
+seen in training. A text then adds up its units. Counts, n-grams and what units say are tables joined by key, of any size; only the
+most frequent units, at most HEAD of them with HEAD_CELLS entries together, are broadcast, and the others meet their texts in a join.
+So the split changes no result, and no joined unit is frequent.
+"""
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierseek.llm.common import table
+from tierseek.llm.common import scratch, table
+
+
+def _number_signs() -> str:
+    """The characters that count as alphanumeric but are neither letters nor digits, as a character class's ranges."""
+    signs = [c for c in range(0x110000) if unicodedata.category(chr(c)) in ("No", "Nl")]
+    starts = [c for i, c in enumerate(signs) if not i or signs[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(signs) if i + 1 == len(signs) or signs[i + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
 
-LETTER = re.compile(r"[^\W\d_]")
-WORDS = re.compile(r"[^\W\d_]+")
+
+#: A word is a run of letters.
+WORDS = re.compile(rf"[^\W\d_{_number_signs()}]+")
 ORDERS = (5, 4, 3, 2, 1)
 FLUSH = 300_000
 #: A longer run of letters is read in slices, each of which speaks like one unseen word.
 LONGEST = 40
 STARTS = LONGEST + 2
-#: Numbers in the matrix of words that a scorer has met.
-CELLS = 2_000_000
+PRIOR = 0.5
+#: Units that are broadcast, and entries (unit, language) of theirs.
+HEAD, HEAD_CELLS = 200_000, 1_000_000
+ENTRIES = "array<struct<l:int,v:double>>"
+
+
+def slices_of(word: str) -> list[str]:
+    """A word with its ends marked, in slices that share letters, so that each n-gram starts in one slice and lies whole in it."""
+    w = f"^{word}$"
+    return [w[i : i + STARTS + ORDERS[0] - 1] for i in range(0, max(1, len(w) - ORDERS[0] + 1), STARTS)]
+
+
+def grams_of(part: str, order: int) -> list[str]:
+    """The n-grams that start in a slice; one that is too short has none."""
+    n = len(part) - order + 1
+    return [part[i : i + order] for i in range(n if part.endswith("$") else min(n, STARTS))]
+
+
+def units_of(text: str) -> list[str]:
+    """The lower-case words of a text; those of over LONGEST letters as slices, with a space before each, which no word holds."""
+    words = WORDS.findall(text.lower())
+    if not words or max(map(len, words)) <= LONGEST:
+        return words
+    return [x for w in words for x in ([w] if len(w) <= LONGEST else [f" {part}" for part in slices_of(w)])]
+
 
+def marked(unit: str) -> str:
+    """A unit as n-grams see it, with the ends of words marked."""
+    return unit[1:] if unit.startswith(" ") else f"^{unit}$"
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(lang, word, n) of the batches, added up in memory until there are FLUSH entries."""
-    counts: dict[str, Counter] = {}
+
+def _count_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(unit, lang, n) of the batches, added up in memory until there are FLUSH entries."""
+    counts: dict[str | None, Counter] = {}
 
     def flush() -> pd.DataFrame:
-        rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
+        rows = [(u, lang, n) for lang, c in counts.items() for u, n in c.items()]
         counts.clear()
-        return pd.DataFrame(rows, columns=["lang", "word", "n"])
+        return pd.DataFrame(rows, columns=["unit", "lang", "n"])
 
     held = 0
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             c = counts.setdefault(lang, Counter())
             held -= len(c)
-            c.update(WORDS.findall(text.lower()))
+            c.update(units_of(text))
             held += len(c)
             if held > FLUSH:
                 yield flush()
@@ -50,172 +92,193 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
-def slices_of(word: str) -> list[str]:
-    """A word with its ends marked, in slices that share letters, so that each n-gram starts in one slice and lies whole in it."""
-    w = f"^{word}$"
-    return [w[i : i + STARTS + ORDERS[0] - 1] for i in range(0, max(1, len(w) - ORDERS[0] + 1), STARTS)]
-
-
-def grams_of(part: str, order: int) -> list[str]:
-    """The n-grams that start in a slice; one that is too short has none."""
-    n = len(part) - order + 1
-    return [part[i : i + order] for i in range(n if part.endswith("$") else min(n, STARTS))]
-
-
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(size, gram, lang, n): the n-grams of units, as often as the unit in each language."""
     counts: dict[tuple[str, int], Counter] = {}
 
     def flush() -> pd.DataFrame:
-        rows = [(lang, o, g, n) for (lang, o), c in counts.items() for g, n in c.items()]
+        rows = [(o, g, lang, n) for (lang, o), c in counts.items() for g, n in c.items()]
         counts.clear()
-        return pd.DataFrame(rows, columns=["lang", "size", "gram", "n"])
+        return pd.DataFrame(rows, columns=["size", "gram", "lang", "n"])
 
     for batch in batches:
-        for lang, word, n in zip(batch["lang"], batch["word"], batch["n"], strict=True):
-            for k, part in enumerate(slices_of(word)):
-                for o in ORDERS:
+        for i, (unit, langs, ns) in enumerate(zip(batch["unit"], batch["langs"], batch["ns"], strict=True)):
+            part = marked(unit)
+            for o in ORDERS:
+                grams = grams_of(part, o)
+                for lang, n in zip(langs, ns, strict=True):
                     c = counts.setdefault((lang, o), Counter())
-                    for g in grams_of(part, o):
+                    for g in grams:
                         c[g] += n
-                if k % 1000 == 999 and sum(map(len, counts.values())) > FLUSH:
-                    yield flush()
-        if sum(map(len, counts.values())) > FLUSH:
-            yield flush()
+            if i % 1000 == 999 and sum(map(len, counts.values())) > FLUSH:
+                yield flush()
     yield flush()
 
 
-class Model:
-    """Log frequencies by language, one row of a matrix for each word and n-gram that was seen."""
-
-    def __init__(self, langs: list[str], words: dict[str, int], grams: dict[int, dict[str, int]], matrix: np.ndarray):
-        self.langs, self.words, self.grams, self.matrix = langs, words, grams, matrix
-
-    def parts(self, w: str) -> tuple[list[int], float]:
-        """The rows that speak for one lower-case word and the weight of each: its own, or those of its longest known n-grams.
-
-        A slice of a longer run comes with a space before it, which no word holds.
-        """
-        if (known := self.words.get(w)) is not None:
-            return [known], 1.0
-        part = w[1:] if w.startswith(" ") else f"^{w}$"
-        for o in ORDERS:
-            table_of = self.grams[o]
-            found = [table_of[g] for g in grams_of(part, o) if g in table_of]
-            if found:
-                # n-grams say less than a whole word, and shorter ones less still
-                return found, o / (ORDERS[0] + 1) / len(found)
-        return [], 0.0
-
-    def split(self, words: list[str]) -> list[str]:
-        """The words, but unknown ones of over LONGEST letters as their slices."""
-        if max(map(len, words)) <= LONGEST:
-            return words
-        return [x for w in words for x in ([w] if len(w) <= LONGEST or w in self.words else [f" {part}" for part in slices_of(w)])]
-
-    def scorer(self):
-        """text -> (language, score from 0 to 1)."""
-        known = KnownWords(self)
-        step = max(1, CELLS // ((STARTS + ORDERS[0]) * max(1, len(self.langs))))
-
-        def score(text: str | None) -> tuple[str, float]:
-            if not text or not self.langs or not LETTER.search(text):
-                return "und", 0.0
-            words = self.split(WORDS.findall(text.lower()))
-            total = np.zeros(len(self.langs))
-            for i in range(0, len(words), step):
-                total += known.of(words[i : i + step])
-            best = int(total.argmax())
-            # at the weight of sqrt(n) words, so that long texts do not all reach 1
-            p = np.exp((total - total[best]) / max(1.0, math.sqrt(len(words))))
-            return self.langs[best], float(1.0 / p.sum())
-
-        return score
-
-
-class KnownWords(dict):
-    """Word -> its row in a matrix of what it says for each language. Holds at most CELLS numbers, then starts afresh."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.rows = np.zeros((max(1, CELLS // max(1, len(model.langs))), len(model.langs)))
-
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        self.fresh.append(word)
-        return at
-
-    def of(self, words: list[str]) -> np.ndarray:
-        """The sum over words, of which there are at most as many as rows. A word or slice has at most STARTS + 4 n-grams, so callers pass slices."""
-        if len(self) + len(words) > len(self.rows):
-            self.clear()
-        self.fresh = []
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.fresh:
-            self.learn()
-        return self.rows[at].sum(axis=0)
-
-    def learn(self) -> None:
-        """Fill the rows of the fresh words, the last ones that came in."""
-        found, weights = zip(*map(self.model.parts, self.fresh), strict=True)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        rows = self.rows[len(self) - len(found) : len(self)]
-        rows[:] = 0
-        if sizes.any():
-            flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, sizes.sum())
-            some = sizes > 0
-            starts = (np.cumsum(sizes) - sizes)[some]
-            rows[some] = np.add.reduceat(self.model.matrix[flat].astype(float), starts) * np.array(weights)[some, None]
-
-
-def _rows(found, key: str, langs: list[str], totals: dict[str, float], prior: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """Entries, and for each log((n + prior) / total) by language, less the mean over languages. found: an Arrow table."""
-    entries = pc.dictionary_encode(found[key].combine_chunks())
-    n = np.zeros((len(entries.dictionary), len(langs)))
-    n[entries.indices.to_numpy(), pc.index_in(found["lang"].combine_chunks(), pa.array(langs, found["lang"].type)).to_numpy()] = found["n"].to_numpy()
-    n += prior
-    n /= np.array([max(1.0, totals.get(x, 1.0)) for x in langs]) + prior
-    np.log(n, out=n)
-    n -= n.mean(axis=1, keepdims=True)
-    return entries.dictionary.to_pylist(), n.astype(np.float32)
-
-
-def fit(docs: DataFrame) -> Model:
-    """Learn from all rows of (text, lang) with a language and a text.
-
-    Counts cover every word of every row, and the model keeps every language, word and n-gram with them. So it grows with the
-    number of distinct entries times the number of languages, on the driver and on each Python worker.
+def _grams_of_units(order: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(u, g) for u in b["unit"] for g in grams_of(marked(u), order)], columns=["unit", "gram"])
+
+    return run
+
+
+class Head:
+    """What the most frequent units say: their order, and (language, value) entries of each in one array."""
+
+    def __init__(self, rows: pd.DataFrame, n_langs: int):
+        self.at = {u: i for i, u in enumerate(rows["unit"])}
+        self.order = rows["o"].to_numpy(np.int64)
+        self.sizes = np.array([len(x) for x in rows["ls"]], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        flat = lambda c, t: np.concatenate([np.zeros(0, t), *(np.asarray(x, t) for x in rows[c])])
+        self.langs, self.values, self.n_langs = flat("ls", np.int64), flat("vs", float), n_langs
+
+    def read(self, text: str | None) -> tuple[int, np.ndarray, list[str], list[int]]:
+        """Units of a text, the sums over those of the head (how many of each order, then by language), the others and their counts."""
+        counts = Counter(units_of(text)) if text else {}
+        get = self.at.get
+        found, times, rest, rest_times = [], [], [], []
+        for u, n in counts.items():
+            if (i := get(u)) is None:
+                rest.append(u)
+                rest_times.append(n)
+            else:
+                found.append(i)
+                times.append(n)
+        sums = np.zeros(len(ORDERS) + 2 + self.n_langs)
+        if found:
+            i, n = np.array(found), np.array(times, float)
+            size = self.sizes[i]
+            at = np.arange(size.sum()) + np.repeat(self.starts[i] - (np.cumsum(size) - size), size)
+            sums = np.bincount(
+                np.concatenate([self.order[i] + 1, self.langs[at] + len(ORDERS) + 2]), np.concatenate([n, self.values[at] * np.repeat(n, size)]), len(sums)
+            )
+        return sum(counts.values()), sums, rest, rest_times
+
+
+def _read(shared, columns: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, row = shared.value, TaskContext.get().partitionId() << 33
+        for b in batches:
+            read = [head.read(t) for t in b["__text"]]
+            some = [np.flatnonzero(s) for _, s, _, _ in read]
+            yield b[columns].assign(
+                __row=np.arange(row, row + len(b)), __units=[n for n, *_ in read],
+                __keys=[k.astype(np.int32) for k in some], __vals=[s[k] for k, (_, s, _, _) in zip(some, read, strict=True)],
+                __rest=[r for *_, r, _ in read], __times=[t for *_, t in read],
+            )
+            row += len(b)
+
+    return run
+
+
+def _judge(langs: list[str], base: np.ndarray, columns: list[str]):
+    """base[o]: what a unit of order o adds for each language whatever it is. Order -1, of units without any known n-gram, adds nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n_orders = len(ORDERS) + 2
+        for b in batches:
+            out = []
+            for units, *pairs in zip(b["__units"], b["__keys"], b["__vals"], b["__more_keys"], b["__more_vals"], strict=True):
+                if not units or not langs:
+                    out.append(("und", 0.0))
+                    continue
+                keys = np.concatenate([x for x in pairs[::2] if x is not None]).astype(np.int64)
+                sums = np.bincount(keys, np.concatenate([x for x in pairs[1::2] if x is not None]), n_orders + len(langs))
+                total = sums[n_orders:] + sums[1:n_orders] @ base
+                best = int(total.argmax())
+                # at the weight of sqrt(n) units, so that long texts do not all reach 1
+                p = np.exp((total - total[best]) / max(1.0, math.sqrt(units)))
+                out.append((langs[best], float(1.0 / p.sum())))
+            yield b[columns].assign(lang_pred=[x for x, _ in out], score=[x for _, x in out])
+
+    return run
+
+
+def learn(units: DataFrame) -> tuple[list[str], np.ndarray, DataFrame]:
+    """(languages, base, said) from units (unit, total, seen: array<struct<lang, n>>).
+
+    said: unit, total, o, e for every unit: the order that speaks for it (0: itself, -1: nothing) and its entries by language.
     """
-    seen = docs.where("lang is not null and text is not null").select("lang", "text")
-    words = table(seen.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    totals = {r[0]: float(r[1]) for r in words.groupBy("lang").agg(F.sum("n")).collect()}
-    langs = sorted(totals)
+    spark = units.sparkSession
+    is_word = ~F.startswith("unit", F.lit(" "))
+    totals = units.where(is_word).select(F.explode("seen").alias("s")).groupBy("s.lang").agg(F.sum("s.n").alias("n"))
+    counted = units.where(F.size("seen") > 0)
+    arrays = counted.select("unit", F.transform("seen", lambda s: s["lang"]).alias("langs"), F.transform("seen", lambda s: s["n"]).alias("ns"))
+    pairs = arrays.mapInPandas(_count_grams, "size int, gram string, lang string, n long").repartition("size", "gram")
+    pairs = pairs.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
+    grams = table(pairs.groupBy("size", "gram").agg(F.collect_list(F.struct("lang", "n")).alias("seen")))
+    of_words = {r[0]: float(r[1]) for r in totals.collect()}  # a row for each language
+    of_grams = {(r[0], r[1]): float(r[2]) for r in grams.select("size", F.explode("seen").alias("s")).groupBy("size", "s.lang").agg(F.sum("s.n")).collect()}
+    langs = sorted(of_words | {lang: 0.0 for _, lang in of_grams})
+    weights = {0: 1.0} | {o: o / (ORDERS[0] + 1) for o in ORDERS}  # n-grams say less than a whole word, and shorter ones less still
+    base = np.array([[-weights[o] * math.log((max(1.0, of_words.get(x, 1.0) if not o else of_grams.get((o, x), 1.0)) + PRIOR) / PRIOR) for x in langs] for o in range(len(ORDERS) + 1)])
+    base = base.reshape(len(ORDERS) + 1, len(langs))
     if not langs:
-        return Model([], {}, {o: {} for o in ORDERS}, np.zeros((0, 0)))
-    grams = table(words.mapInPandas(_count_grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
-    entries, matrix = _rows(words.toArrow(), "word", langs, totals)
-    index, blocks, n = {w: i for i, w in enumerate(entries)}, [matrix], len(entries)
-    gram_totals = {(r[0], r[1]): float(r[2]) for r in grams.groupBy("lang", "size").agg(F.sum("n")).collect()}
-    gram_index = {}
+        return [], base, units.select("unit", "total", F.lit(-1).alias("o"), F.array().cast(ENTRIES).alias("e"))
+    index = F.map_from_arrays(F.array(*[F.lit(x) for x in langs]), F.array(*[F.lit(i) for i in range(len(langs))]))
+    entries = F.transform("seen", lambda s: F.struct(F.element_at(index, s["lang"]).alias("l"), F.log((s["n"] + PRIOR) / PRIOR).alias("v"))).cast(ENTRIES)
+    own = is_word & (F.size("seen") > 0)
+    said = units.where(own).select("unit", "total", F.lit(0).alias("o"), entries.alias("e"))
+    rest = units.where(~own).select("unit", "total")
     for o in ORDERS:
-        entries, matrix = _rows(grams.where(F.col("size") == o).toArrow(), "gram", langs, {x: gram_totals.get((x, o), 1.0) for x in langs})
-        gram_index[o] = {g: n + i for i, g in enumerate(entries)}
-        blocks.append(matrix)
-        n += len(entries)
-    return Model(langs, index, gram_index, np.concatenate(blocks))
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score. Only the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "lang_pred string, score double"
-
-    @F.pandas_udf(schema)
-    def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        score = shared.value.scorer()
-        for texts in batches:
-            yield pd.DataFrame([score(t) for t in texts], columns=["lang_pred", "score"])
-
-    return docs.withColumn("__l", tag(F.col("text"))).withColumns({"lang_pred": F.col("__l.lang_pred"), "score": F.col("__l.score")}).drop("__l")
+        of_order = grams.where(F.col("size") == o).select("gram", entries.alias("e"))
+        met = rest.select("unit").mapInPandas(_grams_of_units(o), "unit string, gram string").join(of_order, "gram")
+        met = met.groupBy("unit").agg(F.count(F.lit(1)).alias("found"), F.flatten(F.collect_list("e")).alias("e"))
+        scaled = F.transform("e", lambda x: F.struct(x["l"].alias("l"), (x["v"] * weights[o] / F.col("found")).alias("v"))).cast(ENTRIES)
+        tried = table(rest.join(met, "unit", "left").select("unit", "total", "found", scaled.alias("e")))
+        said = said.unionByName(tried.where("found is not null").select("unit", "total", F.lit(o).alias("o"), "e"))
+        rest = tried.where("found is null").select("unit", "total")
+        if not rest.limit(1).count():
+            break
+    return langs, base, said.unionByName(rest.select("unit", "total", F.lit(-1).alias("o"), F.array().cast(ENTRIES).alias("e")))
+
+
+def identify(docs: DataFrame, teaches: Column, columns: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """columns of docs, lang_pred and score of each row, learnt from the rows where teaches is true.
+
+    Rows with a null text or lang teach nothing. A prediction depends on the row's text alone. `und` with score 0 for a text that is null or has
+    no letter, or when nothing could be learnt. Repeated rows count as often as they occur; ties go to the language that sorts first.
+    An empty table gives no rows. Of languages there may be as many as fit a map literal and one array for each text.
+    """
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        with scratch(spark) as keep_units:
+            label = F.when(F.coalesce(teaches, F.lit(False)), F.col(lang)).cast("string")
+            raw = docs.where(F.col(text).isNotNull()).select(label.alias("lang"), F.col(text).cast("string").alias("text"))
+            # dealt by unit alone, so that both sums need one exchange
+            counts = raw.mapInPandas(_count_units, "unit string, lang string, n long").repartition("unit")
+            counts = counts.groupBy("unit", "lang").agg(F.sum("n").alias("n"))
+            seen = F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "n"))).alias("seen")
+            units = table(counts.groupBy("unit").agg(F.sum("n").alias("total"), seen))
+            langs, base, said = learn(units)
+            said = keep_units(said.withColumn("bin", F.floor(F.log2("total") * 8).cast("int")))
+        # whole bins of frequency go to the head, from the top, as long as they fit
+        first, n_units, n_cells = 1 << 30, 0, 0
+        for b, n, cells in sorted(map(tuple, said.groupBy("bin").agg(F.count(F.lit(1)), F.sum(F.size("e"))).collect()), reverse=True):
+            n_units, n_cells = n_units + n, n_cells + cells
+            if n_units > HEAD or n_cells > HEAD_CELLS:
+                break
+            first = b
+        arrays = [F.transform("e", lambda x: x["l"]).alias("ls"), F.transform("e", lambda x: x["v"]).alias("vs")]
+        head = Head(said.where(F.col("bin") >= first).select("unit", "o", *arrays).toPandas(), len(langs))
+        shared = spark.sparkContext.broadcast(head)
+        renamed = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)], F.col(text).cast("string").alias("__text"))
+        names = renamed.columns[:-1]
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in renamed.schema.fields[:-1])
+        state = "__row long, __units long, __keys array<int>, __vals array<double>, __rest array<string>, __times array<long>"
+        read = table(renamed.mapInPandas(_read(shared, names), f"{kinds}, {state}"))
+        pairs = read.select("__row", F.explode(F.arrays_zip("__rest", "__times")).alias("p")).select("__row", F.col("p.__rest").alias("unit"), F.col("p.__times").alias("n"))
+        met = pairs.join(said.where(F.col("bin") < first).select("unit", "o", "e"), "unit")
+        keys = F.concat(F.array(F.col("o") + 1), F.transform("e", lambda x: x["l"] + len(ORDERS) + 2))
+        vals = F.concat(F.array(F.col("n").cast("double")), F.transform("e", lambda x: x["v"] * F.col("n")))
+        # a text's units are no more than its row holds
+        more = met.select("__row", keys.alias("k"), vals.alias("v")).groupBy("__row").agg(F.flatten(F.collect_list("k")).alias("__more_keys"), F.flatten(F.collect_list("v")).alias("__more_vals"))
+        both = read.drop("__rest", "__times").join(more, "__row", "left")
+        done = keep(both.mapInPandas(_judge(langs, base, names), f"{kinds}, lang_pred string, score double"))
+        shared.unpersist()
+    return done.select(*[F.col(n).alias(c) for n, c in zip(names, columns, strict=True)], "lang_pred", "score")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -226,9 +289,8 @@ def held_out(doc_id: Column) -> Column:
 def langid_digest(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score. Learnt from the rows that aren't held out.
 
-    A null lang or text teaches nothing; a null doc_id counts as not held out but isn't learnt from. `und` with score 0 for a null text, one
-    without a letter, or when nothing could be learnt. Repeated rows count as often as they occur; extra columns are ignored.
+    A null lang or text teaches nothing; a null doc_id counts as not held out but isn't learnt from. See identify() for other cases;
+    extra columns are ignored.
     """
     rows = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
-    model = fit(rows.where("not held_out and doc_id is not null").select("text", "lang"))
-    return predict(rows.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(rows, ~F.col("held_out") & F.col("doc_id").isNotNull(), ["doc_id", "held_out"])

@@ -9,9 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierseek.llm.common import WORD, table
+from tierseek.llm.common import WORD, scratch, table
 
 BLOCK = 1000
+#: The smallest fractions of a block that are handed on unrounded, so that a source's last block can settle what is left.
+BALLAST = 24
+#: A source's taken words may miss its target by this share of it before the last fraction's other outcome is tried too.
+NEAR = 0.001
+#: Levels that are tried at once when targets are filled up.
+CUTS = 64
 
 
 def pivotal(ids: Sequence[int], sizes: Sequence[float], p: Sequence[float], seed: str) -> tuple[list[float], int | None]:
@@ -43,15 +49,48 @@ def pivotal(ids: Sequence[int], sizes: Sequence[float], p: Sequence[float], seed
     return out, held
 
 
+def settle(out: list[float], free: Sequence[bool], sizes: Sequence[float], held: int, draw: float) -> list[float]:
+    """Rounds the last fraction and hands the words that this adds or drops to other rows, largest first as far as they fit.
+
+    Only free rows change, and each once at most. The sum of out * size then misses the old one by less than the smallest row that
+    could still change; the outcome that is drawn for the last fraction gives way to the other one only where it misses by more.
+    """
+    order = sorted((j for j in range(len(out)) if free[j] and j != held and sizes[j] > 0), key=lambda j: -sizes[j])
+    whole = sum(a * b for a, b in zip(out, sizes, strict=True))
+
+    def tried(value: float) -> tuple[float, list[float]]:
+        new, over = list(out), (value - out[held]) * sizes[held]
+        new[held] = value
+        for j in order:
+            if new[j] == 1 and sizes[j] <= over:
+                new[j], over = 0.0, over - sizes[j]
+            elif new[j] == 0 and sizes[j] <= -over:
+                new[j], over = 1.0, over + sizes[j]
+        return abs(over), new
+
+    drawn = float(draw < out[held])
+    first = tried(drawn)
+    if first[0] <= NEAR * whole:
+        return first[1]
+    return min(first, tried(1.0 - drawn), key=lambda x: x[0])[1]
+
+
 def _round_block(level: int, seed: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        # large documents first: what stays fractional in the end is then small, and so is a source's distance from its target
+        # large documents first: what stays fractional in the end is then small more often
         rows = rows.assign(words=-rows["size"] * rows["n"]).sort_values(["words", "key", "doc_id", "n"], kind="stable").drop(columns="words")
         first = rows.iloc[0]
         name = f"{seed}:{level}:{first['rank']}:{first['block']}"
-        p, held = pivotal(rows["doc_id"].tolist(), (rows["size"] * rows["n"]).tolist(), rows["p"].tolist(), name)
+        sizes, p = (rows["size"] * rows["n"]).tolist(), rows["p"].tolist()
+        free = [0 < x < 1 for x in p]
+        n = len(p)
+        if not last:  # the smallest rows with words wait for the last block
+            some = [i for i in range(n) if free[i] and sizes[i] > 0]
+            n = some[-BALLAST] if len(some) > BALLAST else 0
+        done, held = pivotal(rows["doc_id"].tolist()[:n], sizes[:n], p[:n], name)
+        p = done + [x if sizes[n + i] > 0 else 0.0 for i, x in enumerate(p[n:])]
         if last and held is not None:
-            p[held] = float(random.Random(name + ":last").random() < p[held])
+            p = settle(p, free, sizes, held, random.Random(name + ":last").random())
         return rows.assign(p=p)
 
     return run
@@ -62,7 +101,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
 
     Sources are ranked by code point, null last, and weigh weights[rank % len(weights)]. Together they get share of all
     sizes; a target stops at most times its source's size, and what is over goes to the others by weight, until none is above.
-    Ranks come from a range partitioning, and each step of the resharing is one small aggregate, however many sources there are.
+    Ranks come from a range partitioning. The level at which the targets are filled takes about log(sources) / log(CUTS) small aggregates.
     """
     spark = sizes.sparkSession
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
@@ -75,15 +114,21 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights)).cast("int"))
     ranked = table(parts.withColumn("place", place).join(offsets, "part").withColumn("rank", F.col("before") + F.col("place")).withColumn("w", weight).select("source", "rank", "w", "n_rows", "source_size"))
     cap = F.col("source_size") * float(most)
-    total = ranked.agg(F.sum("source_size")).first()[0] or 0
-    level, n_capped = 0.0, -1
+    total = share * (ranked.agg(F.sum("source_size")).first()[0] or 0)
+    # a source is full at the level full; level is found between two neighbouring values of full, by CUTS trial levels a job
+    full = F.when(F.col("w") > 0, cap / F.col("w")).otherwise(0.0)
+    low, high = -1.0, float("inf")
     while True:
-        over = F.col("w") * level > cap if n_capped >= 0 else F.lit(False)
-        free = F.when(over, 0.0).otherwise(F.col("w"))
-        n, capped, weights_left = ranked.agg(F.count_if(over), F.sum(F.when(over, cap).otherwise(0.0)), F.sum(free)).first()
-        if n == n_capped or not weights_left:
+        between = (full > low) & (full < high)
+        cuts = ranked.where(between).agg(F.percentile_approx(full, [i / CUTS for i in range(CUTS + 1)], 10_000)).first()[0]
+        if not cuts:
             break
-        n_capped, level = n, (share * total - capped) / weights_left
+        cuts = sorted({*cuts})
+        filled = ranked.agg(*[F.sum(F.least(F.col("w") * c, cap)) for c in cuts]).first()
+        low = max([low, *(c for c, x in zip(cuts, filled, strict=True) if x <= total)])
+        high = min([high, *(c for c, x in zip(cuts, filled, strict=True) if x > total)])
+    capped, weights_left = ranked.agg(F.sum(F.when(full <= low, cap).otherwise(0.0)), F.sum(F.when(full <= low, 0.0).otherwise(F.col("w")))).first()
+    level = (total - capped) / weights_left if weights_left else max(low, 0.0)
     return ranked.select("source", "rank", "n_rows", "source_size", F.least(F.col("w") * level, cap).alias("target"))
 
 
@@ -95,12 +140,19 @@ def copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     an empty table gives none.
 
     Expected copies are target / source_size, so between 0 and most. Their whole part is taken; the fractions are rounded
-    pairwise in blocks of about BLOCK documents, each block hands one fraction on, and these meet in blocks again, until
-    each source has one left, which is drawn. Reruns agree: blocks, order and draws come from hashes.
+    pairwise in blocks of about BLOCK documents, each block hands one fraction and its BALLAST smallest rows on, and these meet in blocks
+    again, until each source has one block left, in which the last fraction is drawn and its words are made up for by small rows.
+    A source's taken words so miss its target by less than its smallest such row holds, where it has more than a few rows.
+    Reruns agree: blocks, order and draws come from hashes.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_copies(docs, weights, share, most, seed))
+
+
+def _copies(docs: DataFrame, weights: Sequence[float], share: float, most: float, seed: int) -> DataFrame:
     sizes = docs.select(F.col("doc_id").cast("long"), "source", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long").alias("size"))
     units = table(sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")))
-    goal = targets(units.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most)
+    goal = table(targets(units.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     key = F.xxhash64("doc_id", "size", F.lit(seed))
     goal = goal.withColumnRenamed("source", "of")
@@ -108,26 +160,32 @@ def copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     rows = rows.withColumns({"key": key, "whole": F.floor(rate), "p": rate - F.floor(rate)})
     rows = rows.withColumn("block", F.pmod("key", F.ceil(F.col("n_rows") / BLOCK)))
     most_rows, out, level = goal.agg(F.max("n_rows")).first()[0] or 0, None, 0
-    blocks = -(-most_rows // BLOCK)
+    blocks, fewer = -(-most_rows // BLOCK), BLOCK // (BALLAST + 1)
     while True:
-        last = blocks <= 1
-        done = table(rows.groupBy("rank", "block").applyInPandas(_round_block(level, seed, last), rows.schema))
-        whole = done if last else done.where("p in (0, 1)")
+        # a source that is down to one block settles in it, whatever the others have left
+        alone = F.col("n_blocks") <= 1
+        rows = rows.withColumn("n_blocks", F.ceil(F.ceil(F.col("n_rows") / BLOCK) / F.lit(fewer**level)))
+        settled = rows.where(alone).groupBy("rank", "block").applyInPandas(_round_block(level, seed, True), rows.schema)
+        if blocks > 1:
+            settled = settled.unionByName(rows.where(~alone).groupBy("rank", "block").applyInPandas(_round_block(level, seed, False), rows.schema))
+        done = table(settled)
+        whole = done if blocks <= 1 else done.where("p in (0, 1)")
         out = whole if out is None else out.unionByName(whole)
-        if last:
+        if blocks <= 1:
             break
-        rows = done.where("p not in (0, 1)").withColumn("block", F.expr(f"block div {BLOCK}"))
-        blocks, level = -(-blocks // BLOCK), level + 1
+        rows = done.where("p not in (0, 1)").withColumn("block", F.expr(f"block div {fewer}"))
+        blocks, level = -(-blocks // fewer), level + 1
     return out.select("doc_id", "source", "size", "n", "source_size", "target", (F.col("whole") + F.col("p")).cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """docs with each row as often as copies() says."""
-    taken = copies(docs, **how).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("copies").alias("__c"))
+    """docs with each row as often as copies() says, whatever its columns are called."""
+    taken = copies(docs, **how).where("copies > 0").withColumnsRenamed({"doc_id": "d", "source": "s", "size": "z"})
     size = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
-    both = docs.withColumn("__size", size).join(taken.where("__c > 0"), same)
-    return both.withColumn("__i", F.explode(F.sequence(F.lit(1), "__c"))).select(docs.columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), size.alias("size"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    both = rows.join(taken.select("d", "s", "z", "copies"), same)
+    return both.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:

@@ -307,8 +307,8 @@ def redact(df: DataFrame, text: str = "text", trees: Trees | None = None) -> Dat
     A null text stays null. No other column changes.
     """
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    cols = df.columns
-    found = find_pii(df.withColumnRenamed("base", "__base").withColumnRenamed("spans", "__spans"), text, trees)
+    # the row travels whole in one column, so that no name of its columns can clash
+    found = find_pii(df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.col(text).alias("text")), "text", trees)
 
     def new(s: Column) -> Column:
         # a span that starts inside an earlier one adds no mark, and the text goes on at the furthest end so far
@@ -318,15 +318,15 @@ def redact(df: DataFrame, text: str = "text", trees: Trees | None = None) -> Dat
             lambda x, i: let(
                 F.coalesce(F.when(i > 0, reach(i)), F.lit(0)),
                 lambda at: F.when(x["start"] < at, F.lit("")).otherwise(
-                    F.concat(F.substring(F.col(text), at + 1, x["start"] - at), F.get(names, x["kind"]))
+                    F.concat(F.substring(F.col("text"), at + 1, x["start"] - at), F.get(names, x["kind"]))
                 ),
             ),
         )
         last = F.array_max(F.transform(s, lambda x: x["end"]))
         return F.concat(F.array_join(parts, ""), F.substring(F.col(text), last + 1, F.length(F.col(text))))
 
-    out = found.withColumn(text, F.when(F.size("spans") == 0, F.col(text)).otherwise(let(F.col("spans"), new))).drop("base", "spans")
-    return out.withColumnRenamed("__base", "base").withColumnRenamed("__spans", "spans").select(cols)
+    clean = F.when(F.size("spans") == 0, F.col("text")).otherwise(let(F.col("spans"), new))
+    return found.select(*[clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def pii_digest(df: DataFrame) -> DataFrame:

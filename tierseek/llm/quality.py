@@ -113,6 +113,13 @@ def quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     return m.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & verdict(rules)})
 
 
+def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of df that quality() keeps, with all their columns as they are, whatever these are called."""
+    # the row travels whole in one column, so that no measure can replace one of its columns
+    judged = quality(df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.col(text).alias("text")), "text", rules)
+    return judged.where("kept").select("row.*")
+
+
 def sql(rules: tuple[Rule, ...] = RULES) -> str:
     """The query in DuckDB."""
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
