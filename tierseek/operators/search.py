@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tierseek.functions.fold import fold_table
 from tierseek.functions.scores import BUDGET, MIN_QUERY, MIN_TYPO, SCORES
-from tierseek.operators.match import MATCH, Query, _q, admits, let, match_of, matching, prepared
+from tierseek.operators.match import MATCH, Query, W, _q, admits, let, match_of, matching, prepared
 
 
 @dataclass(frozen=True)
@@ -31,11 +31,15 @@ def _specs(fields) -> list[FieldSpec]:
 
 
 def gate(norm: Column, query: Query) -> Column:
-    """True for every text that the query can match without a correction: its characters in order, the first at a word's start
-    or with the next two. False passes are possible."""
-    return norm.rlike("(?s)" + "".join(_q(c) if not i else f"[^{_q(c)}]*+{_q(c)}" for i, c in enumerate(query.text))) if len(query.words) <= 1 else reduce(
-        lambda a, b: a & b, [F.contains(norm, F.lit(c)) for c in dict.fromkeys("".join(query.words))], F.lit(True)
-    )
+    """True for every text that the query can match without a correction or an acronym. False passes are possible.
+
+    One word: its characters in order, the first of them at a word's start or with the next two behind it. Several words: each of their characters.
+    """
+    if len(query.words) > 1:
+        return reduce(lambda a, b: a & b, [F.contains(norm, F.lit(c)) for c in dict.fromkeys("".join(query.words))], F.lit(True))
+    c = [_q(x) for x in query.text]
+    rest = "".join(f"[^{x}]*+{x}" for x in c[1:])
+    return norm.rlike(f"(?:(?<!{W}){c[0]}{rest}|{''.join(c[:3])}{''.join(f'[^{x}]*+{x}' for x in c[3:])})")
 
 
 def _covered(query: Query) -> bool:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierseek.functions import fold as T
-from tierseek.operators.match import fuzzy_match, matching
+from tierseek.functions.scores import SCORES
+from tierseek.operators.match import Query, admits, fuzzy_match, matching
 from tierseek.operators.search import FieldSpec, FuzzyIndex, funnel, mrr, search_many
+from tierseek.plans.oracle import rows_sql
 from tierseek.sources.tables import read
 
 
@@ -26,13 +28,13 @@ def _tier(table: str, key: str, column: str, query: str, tiers: tuple[str, ...],
     return run
 
 
-def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select("p_name").distinct()
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", "p_name")
 
 
 def _corrected(query: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _flat(_names(spark, sf_dir), "p_name", fuzzy_match("p_name", query)).where("tier = 'corrected'")
+        return _flat(_parts(spark, sf_dir), "p_partkey", fuzzy_match("p_name", query)).where("tier = 'corrected'")
 
     return run
 
@@ -63,13 +65,16 @@ def search_multi_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", F.round("score", 4).alias("score"))
 
 
-def rescue_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten literal hits and more: rows that only a correction would find stay out."""
-    found = FuzzyIndex(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", "n_nationkey").search("nation")
-    return found.select("n_nationkey", F.round("score", 4).alias("score"))
+def _searched(query: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = FuzzyIndex(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", "n_nationkey").search(query)
+        return found.select("n_nationkey", F.round("score", 4).alias("score"), F.col("fields")[0]["tier"].alias("tier"))
+
+    return run
 
 
 PROBES = {"a": "red", "b": "blue", "c": "widget"}
+WANTED = {"a": "red widget", "b": "blue widget", "c": "blue widget"}
 
 
 def search_many_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,22 +84,30 @@ def search_many_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = FuzzyIndex(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "p_partkey")
-    return mrr(search_many(index, PROBES, limit=10), {"a": "red widget", "b": "blue widget", "c": "blue widget"}, "p_name").select(F.round("mrr", 6).alias("mrr"))
+    return mrr(search_many(index, PROBES, limit=10), WANTED, "p_name").select(F.round("mrr", 6).alias("mrr"))
 
 
 def gate_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return funnel(read(spark, sf_dir, "documents"), "text", "licensed").select("n_rows", "n_literal")
+    return funnel(read(spark, sf_dir, "documents"), "text", "licensed").select("n_rows", "n_gate", "n_literal")
+
+
+ABSENT, PRESENT = "qxzwkvjq", "licensed"
 
 
 def longtext_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that no document holds and that no correction reaches match nowhere, however long the text."""
+    """However long a text: a word that is absent matches nowhere, though many texts have all but one of its letters, a word that is there always does, and
+    a real word beside the absent one makes no phrase."""
     df = read(spark, sf_dir, "documents")
-    words = ("qxzwkvjq", "zzyzxqqk", "wvuxqjkz")
-    return df.agg(*[F.count(fuzzy_match("text", w)).alias(w) for w in words])
+    return df.agg(
+        F.count(fuzzy_match("text", ABSENT)).alias("n_absent"),
+        F.count_if(admits(F.col("text"), Query.of(ABSENT))).alias("n_admitted"),
+        F.count_if(fuzzy_match("text", PRESENT)["score"] <= SCORES["CONTAINS"]).alias("n_present"),
+        F.count(fuzzy_match("text", f"{PRESENT} {ABSENT}")).alias("n_phrase"),
+    )
 
 
 def fuzzy_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(_names(spark, sf_dir), "p_name", fuzzy_match("p_name", "rewid")).drop("corrected")
+    return _flat(_parts(spark, sf_dir), "p_partkey", fuzzy_match("p_name", "rewid")).drop("corrected")
 
 
 QUERIES = {
@@ -117,7 +130,8 @@ QUERIES = {
     "corrected_phrase": _corrected("red wigdet"),
     "search_top_k": search_top_k,
     "search_multi_field": search_multi_field,
-    "rescue_budget": rescue_budget,
+    "rescue_budget": _searched("nation_1"),
+    "rescue_within_budget": _searched("nation_2"),
     "search_many": search_many_ranked,
     "mrr": search_mrr,
     "gate_funnel": gate_funnel,
@@ -152,7 +166,25 @@ ORACLES = {
     "tier_contains": _at("orders", "o_orderkey", 2.0, "contains", "contains(lower(o_orderpriority), 'pecif')", "(strpos(lower(o_orderpriority), 'pecif') - 1) || '-' || (strpos(lower(o_orderpriority), 'pecif') + 3)"),
     "search_multi_field": f"""SELECT c_custkey, least(coalesce({_ladder("c_name", "auto")}, 99), coalesce({_ladder("c_mktsegment", "auto")} + 2, 99)) AS score
         FROM customer WHERE contains(lower(c_name), 'auto') OR contains(lower(c_mktsegment), 'auto')""",
-    "rescue_budget": "SELECT n_nationkey, CAST(0.5 AS DOUBLE) AS score FROM nation WHERE starts_with(lower(n_name), 'nation')",
-    "gate_funnel": "SELECT count(*) AS n_rows, count(*) FILTER (WHERE contains(lower(text), 'licensed')) AS n_literal FROM documents",
-    "longtext_guard": "SELECT CAST(0 AS BIGINT) AS qxzwkvjq, CAST(0 AS BIGINT) AS zzyzxqqk, CAST(0 AS BIGINT) AS wvuxqjkz",
+    "literal_ladder": rows_sql("part", "p_partkey", "p_name", "red", "p_partkey, round(score, 4) AS score, tier", search=True),
+    "search_top_k": rows_sql("part", "p_partkey", "p_name", "widget", "p_partkey, p_name, round(score, 4) AS score", search=True, end="ORDER BY m.score, p_partkey LIMIT 25"),
+    "rescue_budget": rows_sql("nation", "n_nationkey", "n_name", "nation_1", "n_nationkey, round(score, 4) AS score, tier", search=True),
+    "rescue_within_budget": rows_sql("nation", "n_nationkey", "n_name", "nation_2", "n_nationkey, round(score, 4) AS score, tier", search=True),
+    "fuzzy_chain": rows_sql("part", "p_partkey", "p_name", "rewid", "p_partkey, round(score, 4) AS score, tier, ranges"),
+    "gate_funnel": rf"""SELECT count(*) AS n_rows, count(*) FILTER (WHERE regexp_matches({_FOLD.format("text")}, '(?s)(?:(?:^|[^\p{{L}}\p{{N}}_])l.*i.*c.*e.*n.*s.*e.*d|lic.*e.*n.*s.*e.*d)')) AS n_gate,
+        count(*) FILTER (WHERE contains({_FOLD.format("text")}, 'licensed')) AS n_literal FROM documents""",
+    "longtext_guard": f"""SELECT CAST(0 AS BIGINT) AS n_absent, count(*) FILTER (WHERE {" + ".join(f"CAST(NOT contains({_FOLD.format('text')}, '{c}') AS INTEGER)" for c in sorted({*ABSENT}))} <= 1) AS n_admitted,
+        count(*) FILTER (WHERE contains({_FOLD.format("text")}, '{PRESENT}')) AS n_present, CAST(0 AS BIGINT) AS n_phrase FROM documents""",
 }
+_PART = "p_partkey, round(score, 4) AS score, tier, ranges, corrected"
+for _name, _query in (("swap", "wigdet"), ("deletion", "widgget"), ("substitution", "wibget"), ("insertion", "wdget"), ("phrase", "red wigdet")):
+    ORACLES[f"corrected_{_name}"] = rows_sql("part", "p_partkey", "p_name", _query, _PART, "tier = 'corrected'")
+
+_RANKED = " UNION ALL ".join(
+    f"SELECT '{k}' AS query_id, * FROM ({rows_sql('part', 'p_partkey', 'p_name', q, 'row_number() OVER (ORDER BY m.score, p_partkey) AS rank, p_partkey, p_name, round(score, 4) AS score', search=True)}) WHERE rank <= 10"
+    for k, q in PROBES.items()
+)
+ORACLES["search_many"] = _RANKED
+_WANTED = ", ".join(f"('{k}', '{v}')" for k, v in WANTED.items())
+ORACLES["mrr"] = f"""SELECT round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM (SELECT w.q, min(s.rank) AS r FROM (VALUES {_WANTED}) AS w(q, want)
+    LEFT JOIN ({_RANKED}) s ON s.query_id = w.q AND s.p_name = w.want GROUP BY w.q)"""
