@@ -1,8 +1,15 @@
 """Ranked search: order, several fields, minimum length, sessions, streams, and the entry point without the llm folders."""
 
+import subprocess
+import sys
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
 from tierseek.functions import fold as T
 from tierseek.operators.search import FieldSpec, FuzzyIndex
 from tierseek.plans import catalog
+from tierseek.streaming.search import match_stream
 
 
 def test_order_and_null(spark):
@@ -34,3 +41,33 @@ def test_catalogue_searches_every_row_of_part(spark, tmp_path):
     assert got == {"a": [(1, 14), (2, 15)], "b": [(1, 12)], "c": [(i, i) for i in range(1, 11)]}
     # blue widget comes first for blue and twelfth for widget
     assert catalog.QUERIES["mrr"](spark, str(tmp_path)).collect()[0]["mrr"] == 0.333333
+
+
+def test_session_equals_fresh_searches(spark):
+    rows = [(i, t) for i, t in enumerate(["wooden spoon", "wooden spork", "spoon rest", "silver spoon", "spo", "wodden bowl", None, "tin"] * 3)]
+    index = FuzzyIndex(spark.createDataFrame(rows, "id long, name string").coalesce(2), "name", "id")
+    session, before = index.session(), spark._jsc.getPersistentRDDs().size()
+    for typed in ("sp", "spo", "spoo", "spoon", "spoon r", "wodn", "wooden"):
+        found = [(r["id"], r["score"]) for r in session.search(typed).collect()]
+        assert found == [(r["id"], r["score"]) for r in index.search(typed).collect()], typed
+        assert spark._jsc.getPersistentRDDs().size() <= before + 1
+    session.close()
+    assert spark._jsc.getPersistentRDDs().size() == before
+
+
+def test_search_is_lazy(spark):
+    index = FuzzyIndex(spark.createDataFrame([(1, "wooden")], "id long, name string").select("id", F.assert_true(F.lit(False)).cast("string").alias("name")), "name", "id")
+    index.search("wodden spoon")  # would fail if it ran anything
+
+
+def test_stream(spark, tmp_path):
+    spark.createDataFrame([("green tea",), ("black coffee",), (None,)], "t string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    found = match_stream(spark.readStream.schema("t string").parquet(f"{tmp_path}/in"), "t", "tea")
+    query = found.writeStream.format("memory").queryName("matches").trigger(availableNow=True).start()
+    assert query.awaitTermination(60) and [r["t"] for r in spark.table("matches").collect()] == ["green tea"]
+    assert "stateoperators" not in str(query.lastProgress).lower() or not query.lastProgress["stateOperators"]
+
+
+def test_core_stands_without_the_llm_folders():
+    code = "import sys; sys.modules['tierseek.llm'] = None; import __spark_entry__ as e; assert not any(k.startswith('op') for k in e.queries()) and 'pipeline' not in e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tierseek.functions.fold import fold_table
 from tierseek.functions.scores import BUDGET, MIN_QUERY, MIN_TYPO, SCORES
-from tierseek.operators.match import MATCH, Query, W, _q, admits, let, match_of, matching, prepared
+from tierseek.operators.match import MATCH, Query, W, _q, admits, fuzzy_match, let, match_of, matching, prepared
 
 
 @dataclass(frozen=True)
@@ -67,8 +67,8 @@ class FuzzyIndex:
         out = self.source.where(F.lit(False)).select(*self.columns)
         return out.withColumns({"score": F.lit(0.0), "fields": F.array().cast(f"array<{MATCH}>")})
 
-    def matches(self, query: Query, rescue: bool, source: DataFrame | None = None) -> DataFrame:
-        """The rows that match, unordered."""
+    def matches(self, query: Query, rescue: bool | Column, source: DataFrame | None = None) -> DataFrame:
+        """The rows that match, unordered. rescue may be a column of one value, such as a scalar subquery."""
 
         def one(i: int, s: FieldSpec) -> Column:
             m = match_of(F.col(f"__p{i}"), query, s.acronym, rescue)
@@ -76,8 +76,11 @@ class FuzzyIndex:
             return F.when(F.col(f"__p{i}").isNotNull(), priced).cast(MATCH)
 
         rows = self.source if source is None else source
+        lazily = isinstance(rescue, Column)
         if query.text:
-            rows = rows.where(reduce(lambda a, b: a | b, [admits(s.column(), query, rescue) for s in self.specs]))
+            rows = rows.where(reduce(lambda a, b: a | b, [admits(s.column(), query, lazily or rescue) for s in self.specs]))
+        if lazily:  # a subquery must not stand inside a lambda function
+            rows, rescue = rows.withColumn("__on", rescue), F.col("__on")
         fields = F.array(*[one(i, s) for i, s in enumerate(self.specs)])
         best = lambda f: F.array_min(F.array_compact(F.transform(f, lambda m: m["score"])))
         hit = let(fields, lambda f: F.when(best(f).isNotNull(), F.struct(best(f).alias("score"), f.alias("fields"))))
@@ -87,17 +90,20 @@ class FuzzyIndex:
         out = found.orderBy("score", *self.key)
         return out if limit is None else out.limit(limit)
 
-    def rescues(self, query: Query, source: DataFrame | None = None) -> bool:
-        """Whether corrections are looked for: not for a short single word, nor once BUDGET rows hold the query literally."""
+    def rescues(self, query: Query, source: DataFrame | None = None) -> bool | Column:
+        """Whether corrections are looked for: not for a short single word, nor once BUDGET rows hold the query literally.
+
+        The count is a scalar subquery that stops at BUDGET rows: it runs with the search, not when the search is built.
+        """
         if _covered(query) and len(query.text) < MIN_TYPO:
             return False
         if query.longest() < MIN_TYPO - 1:
             return False
         literal = self.matches(query, False, source).where(F.col("score") <= SCORES["CONTAINS"])
-        return literal.limit(BUDGET).count() < BUDGET
+        return literal.limit(BUDGET).agg(F.count(F.lit(1)) < BUDGET).scalar()
 
     def search(self, query: str, limit: int | None = None) -> DataFrame:
-        """Rows by score and then key. A folded query of under two characters, and an index without fields, find nothing."""
+        """Rows by score and then key, as one lazy plan. A folded query of under two characters, and an index without fields, find nothing."""
         q = Query.of(query)
         if len(q.text) < MIN_QUERY or not self.specs:
             return self.empty()
@@ -122,18 +128,35 @@ class SearchSession:
             return index.empty()
         extends = self.last is not None and q.text.startswith(self.last.text) and (len(q.words) > 1) == (len(self.last.words) > 1) and not any(s.acronym for s in index.specs)
         source = self.survivors if extends else index.source
-        passed = source.where(self._gate(q)).persist() if not any(s.acronym for s in index.specs) else index.source
+        acronyms = any(s.acronym for s in index.specs)
+        passed = index.source if acronyms else source.where(self._gate(q)).persist()
+        found = index.matches(q, False, passed)
+        # corrections look at rows that the gate drops, so whether they are wanted is settled first
+        literal = found.where(F.col("score") <= SCORES["CONTAINS"]).limit(BUDGET).count()
+        self._free()
         self.last, self.survivors = q, passed
-        if index.rescues(q, passed):
+        if not isinstance(index.rescues(q, passed), bool) and literal < BUDGET:
             return index.ordered(index.matches(q, True), limit)
-        return index.ordered(index.matches(q, False, passed), limit)
+        return index.ordered(found, limit)
 
-    def close(self) -> None:
+    def _free(self) -> None:
+        """Unpersist the last query's survivors; those of this query have been read from them by now."""
         if self.survivors is not None and self.survivors is not self.index.source:
             self.survivors.unpersist()
+
+    def close(self) -> None:
+        self._free()
         self.last = self.survivors = None
 
 
+def parity(df: DataFrame, text: str, key: str, query: str) -> DataFrame:
+    """key, side of the rows that search and the per-row match disagree on, for a query within the budget of corrections; none, if all is well."""
+    index = FuzzyIndex(df.select(key, text), text, key)
+    searched = index.matches(Query.of(query), True).select(key, F.round("score", 9).alias("score"))
+    each = matching(df.select(key, text), fuzzy_match(text, query), "__m").select(key, F.round("__m.score", 9).alias("score"))
+    return searched.exceptAll(each).withColumn("side", F.lit("search")).unionByName(each.exceptAll(searched).withColumn("side", F.lit("match")))
+
+
 def search_many(index: FuzzyIndex, queries: dict[str, str], limit: int | None = None) -> DataFrame:
     """query_id, rank, score and the row, for each of a bounded list of queries. Ranks restart with each query."""
     parts = [index.search(text, limit).drop("fields").withColumn("query_id", F.lit(name)) for name, text in queries.items()]
