@@ -166,6 +166,24 @@ def test_substrings(docs, rows, monkeypatch, most):
     assert sorted(tuple(r) for r in substrings.dedup_digest(docs).collect()) == sorted(want)
 
 
+def test_subtree_and_deep_nodes():
+    r = random.Random(15)
+    texts = [np.array([r.randrange(3) for _ in range(r.randint(1, 30))], np.uint64) for _ in range(25)]
+    suffixes = [tuple(map(int, t[i:])) for t in texts for i in range(len(t))]
+    place, order, common = substrings.subtree(texts)
+    assert [suffixes[i] for i in order] == sorted(suffixes) and all(order[p] == i for i, p in enumerate(place))
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert common.tolist() == [shared(suffixes[a], suffixes[b]) for a, b in zip(order, order[1:])]
+    node, depth = substrings.deep_nodes(common, 4)
+    for i in range(len(suffixes)):
+        for j in range(i):
+            a, b = suffixes[i], suffixes[j]
+            assert (node[place[i]] == node[place[j]]) == (a[:4] == b[:4] and len(a) >= 4 and len(b) >= 4)
+    for x in range(len(depth)):
+        below = [suffixes[order[i]] for i in np.flatnonzero(node == x)]
+        assert depth[x] == (min(shared(below[0], y) for y in below) if len(below) > 1 else 0)
+
+
 def test_langid(spark):
     r = random.Random(4)
     vocab = {"en": ["the", "house", "green", "water", "thing"], "fr": ["maison", "verte", "eau", "chose", "être"]}

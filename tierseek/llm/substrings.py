@@ -1,12 +1,14 @@
-"""Substring dedup by naming equal windows around sampled anchors.
+"""Substring dedup by suffix trees over the repeated parts of texts.
 
 A window of ``window`` words is represented by its anchor: the GRAM-word run in it with the least hash. Equal windows have
 equal anchors at equal places, so suffixes only need to meet where an anchor recurs, which leaves about 2 / (window - GRAM)
 of all positions to shuffle. The words around an anchor that its windows reach are its context. Equal contexts collapse to one with
-the smallest doc_id, so copies cost one row each and no naming. Different contexts of an anchor meet in one group, where prefix
-doubling names equal windows: the one level of a suffix tree that is asked for, without a tree, inner nodes or maximal repeats.
-Anchors have a fixed length and are dealt by hash into groups of a bounded number of words; the windows of an anchor with too
-many contexts are grouped by their hashes instead.
+the smallest doc_id, so copies cost one row each. Different contexts of an anchor meet in one group of a bounded number of words, and the
+group's suffixes make a subtree: their sorted order and the lengths of their common prefixes. Its deep internal nodes, those of
+``window`` words or more, are the maximal repeats; the windows below one take its least doc_id.
+
+The prefix that deals suffixes into groups has one of two lengths: the anchor's run, or, for an anchor with too many contexts, all words of the
+window. Below a prefix of that length there is a single node, so its group is a sum and is added up before it is shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierseek.llm.common import U64, gram_hashes, mix, table, word_hashes
+from tierseek.llm.common import U64, gram_hashes, mix, scratch, table, word_hashes
 
 GRAM = 8
 #: Words of context in one group of suffixes, and contexts of one anchor that share a group.
@@ -102,39 +104,65 @@ def _holds(h: np.ndarray, start: np.ndarray, n: np.ndarray, c: np.ndarray, windo
     return (first[i] == start) & (count[i] == n) & (_prints(h, at[i], first[i], count[i], window) == c)
 
 
-def tree_level(words: np.ndarray, depth: int) -> np.ndarray:
-    """For each suffix, a name for its first words, as many as depth: the node it would pass at that depth of a suffix tree.
+def subtree(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of texts (arrays of word hashes): each one's place in sorted order, that order, and the common prefix with the next one.
 
-    Levels double: two suffixes get the same name at depth a + b if they do at depth a and, a words on, at depth b.
-    Suffixes that are too short get names that are not to be used.
+    Suffixes are places in the texts put one after the other, and end with their text. Prefix doubling: names at 1, 2, 4, ... words, in the order of
+    the words they stand for, until all words of the longest text are named; common prefixes are then read off the names from the longest down.
     """
-    _, name = np.unique(words, return_inverse=True)
-    have = 1
-    while have < depth:
-        step = min(have, depth - have)
-        pair = name[: len(name) - step].astype(np.int64) * len(words) + name[step:]
-        _, name = np.unique(pair, return_inverse=True)
-        have += step
-    return name
+    sizes = np.array([len(x) for x in texts])
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    _, name = np.unique(np.concatenate(texts), return_inverse=True)
+    name = name.astype(np.int64) + 1
+    levels, have = [name], 1
+    n = len(name)
+    while have < sizes.max():
+        on = np.arange(n) + have
+        behind = np.where(on < ends, name[np.minimum(on, n - 1)], 0)  # 0: the text is over
+        _, name = np.unique(name * (n + 1) + behind, return_inverse=True)
+        name = name.astype(np.int64) + 1
+        levels.append(name)
+        have *= 2
+    order = np.argsort(name, kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    a, b = order[:-1], order[1:]
+    common = np.zeros(len(a), np.int64)
+    for i in range(len(levels) - 1, -1, -1):
+        x, y = a + common, b + common
+        # names of texts' ends stand for fewer words than their level says
+        whole = (x + (1 << i) <= ends[a]) & (y + (1 << i) <= ends[b])
+        same = whole & (levels[i][np.minimum(x, n - 1)] == levels[i][np.minimum(y, n - 1)])
+        common[same] += 1 << i
+    return place, order, common
+
+
+def deep_nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The topmost internal nodes of depth words or more: the node of each suffix in sorted order, and each node's own depth (0: a leaf alone)."""
+    node = np.concatenate([[0], np.cumsum(common < depth)])
+    length = np.full(int(node[-1]) + 1, np.iinfo(np.int64).max)
+    inner = common >= depth
+    np.minimum.at(length, node[1:][inner], common[inner])
+    return node, np.where(length == np.iinfo(np.int64).max, 0, length)
 
 
 def _tree(window: int):
-    """Least doc_id over the equal windows of each name, for all contexts of a group of anchors."""
+    """Least doc_id over the suffixes below each deep node, for all contexts of a group of anchors."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        words = np.frombuffer(b"".join(rows["words"]), U64)
-        sizes = rows["words"].str.len().to_numpy() // 8
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        name = tree_level(words, window)
+        texts = [np.frombuffer(x, U64) for x in rows["words"]]
+        sizes = np.array([len(x) for x in texts])
         n = rows["n"].to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        place, order, common = subtree(texts)
+        node, _ = deep_nodes(common, window)
         which = np.repeat(np.arange(len(rows)), n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + starts[which]
-        node, doc = name[at], rows["doc_id"].to_numpy()[which]
-        order = np.lexsort((doc, node))
-        first = np.concatenate([[True], np.diff(node[order]) != 0])
-        least = np.empty(len(node), np.int64)
-        least[order] = doc[order][first][np.cumsum(first) - 1]
-        ends = np.cumsum(n)
+        # only suffixes of a whole window count; the others lie below no deep node
+        docs = rows["doc_id"].to_numpy()
+        low = np.full(int(node[-1]) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(low, node[place[at]], docs[which])
+        least, ends = low[node[place[at]]], np.cumsum(n)
         return pd.DataFrame({"h": rows["h"], "c": rows["c"], "least": [least[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)]})
 
     return run
@@ -229,7 +257,8 @@ def dedup(docs: DataFrame, window: int = 50, digest: bool = False) -> DataFrame:
     from others. Null, empty and short texts keep all their words; an empty table gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = repeats(docs, window).withColumnRenamed("doc_id", "__d")
+    with scratch(docs.sparkSession) as keep:
+        marks = keep(repeats(docs, window)).withColumnRenamed("doc_id", "__d")
     # arrays of numbers reach Python as they are, structs one by one
     plain = lambda m: m["least"].isNull() & m["lows"].isNull()
     parts = [F.col(f"marks.{x}").alias(x) for x in MARK[:4]] + [F.transform("marks", plain).alias("plain"), F.filter("marks", lambda m: ~plain(m)).alias("others")]
