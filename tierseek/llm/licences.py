@@ -150,7 +150,7 @@ p AS (SELECT r, unnest(list_concat(string_split(t, chr(10)),
 w AS (SELECT r, list_filter(regexp_split_to_array(lower(part), '[^a-z0-9]+'), lambda x: x <> '') AS w, row_number() OVER () AS id
       FROM p WHERE regexp_matches(part, '(?i)[a-z0-9][^a-z0-9]+[a-z0-9]')),
 b AS (SELECT r, id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w
-      WHERE len(w) BETWEEN 2 AND 400),
+      WHERE len(w) >= 2),
 s AS (SELECT r, id, name, 2.0::DOUBLE * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM b, templates
       WHERE len(b) BETWEEN len(tb) * {threshold} / (2 - {threshold}) AND len(tb) * (2 - {threshold}) / {threshold}),
 m AS (SELECT r, id, max(dice) AS dice, arg_min(name, (-dice, name)) AS name FROM s WHERE dice >= {threshold} GROUP BY r, id),
