@@ -310,6 +310,12 @@ def test_pii(spark):
     assert red[3]["text"] == "call [PHONE] ok +12 3" and red[4]["text"] == "é😀 [EMAIL]" and red[6]["text"] is None and red[0]["base"] == 1
 
 
+def test_pii_beyond_the_base(spark):
+    texts = ["Bob Smith (212) 555-0147 wrote", "invoice 212-555-0147 paid", "host 2001:db8::1 is up", "in ab::cd the name", "see fe80::42a now", "order 4539148803436468"]
+    got = pii.pii_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert [r["spans"] for r in sorted(got, key=lambda r: r["doc_id"])] == ["phone:10:24", "", "ip:5:16", "", "ip:4:13", ""]
+
+
 def test_mixing(docs, rows):
     got = mixing.mix_digest(docs).collect()
     assert len(got) == len(rows)

@@ -30,6 +30,7 @@ CANDIDATES = (
     ("email", r"[A-Za-z0-9._%+-]{1,64}\x20(?:at|AT)\x20[A-Za-z0-9-]{1,63}(?:\x20(?:dot|DOT)\x20[A-Za-z0-9-]{1,63}){1,6}"),
     ("ip", r"[0-9]{1,3}(?:[\[(]\.[\])][0-9]{1,3}){3}"),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    ("ip", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![0-9A-Za-z:])"),
     ("card", r"(?<![0-9])[0-9]{13,19}(?![0-9])"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[\x20.-][0-9]{4}){3}(?![0-9])"),
     ("phone", r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
@@ -167,7 +168,10 @@ def labelled_lines(n: int = LABELLED_LINES, seed: int = 11) -> list[tuple[str, i
             if not good:
                 x = f"{w()} at {w()} dot {w()}"
         elif kind == "ip":
-            x = "[.]".join(str(r.randint(1, 255)) for _ in range(4)) if r.random() < 0.5 else ":".join(f"{r.randrange(65536):x}" for _ in range(8))
+            group = lambda: f"{r.randrange(1, 65536):x}"
+            x = r.choice(["[.]".join(str(r.randint(1, 255)) for _ in range(4)), ":".join(group() for _ in range(8)), ":".join(f"{r.randint(0, 9)}{r.randrange(4096):x}" for _ in range(r.randint(1, 4))) + "::" + f"{r.randint(0, 9)}{r.randrange(4096):x}"])
+            if not good and r.random() < 0.5:  # names of a scope, in letters alone
+                x = "::".join("".join(r.choice("abcdef") for _ in range(r.randint(1, 4))) for _ in range(2))
             lead = r.choice([w(), *cue[kind].split()]) if good else r.choice(["version", "build", "serial", "part"])
         elif kind == "card":
             x = luhn(16 if r.random() < 0.8 else 15, good)
@@ -180,7 +184,8 @@ def labelled_lines(n: int = LABELLED_LINES, seed: int = 11) -> list[tuple[str, i
         else:
             sep = r.choice(" .-")
             x = r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}{sep}{d(3)}{sep}{d(4)}", f"00{r.randint(1, 9)}{sep}{d(3)}{sep}{d(4)}"])
-            lead = r.choice(cue[kind].split()) if good else r.choice([w(), "order", "invoice", "serial", "ticket"])
+            # in this format a number is personal without a cue, too, unless a word speaks against it
+            lead = r.choice([w(), *cue[kind].split()]) if good else r.choice(["order", "invoice", "serial", "ticket"])
         out.append((f"{w()} {lead}{'' if lead.endswith(chr(34)) else ' '}{x}{tail} {w()}", int(good)))
     return out
 
