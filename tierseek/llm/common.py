@@ -51,9 +51,28 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """As table(), but in buckets by key: later joins by key don't shuffle it. A table of the session's catalogue over files in the shared folder."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark).rstrip('/')}/tierseek-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    name = "tierseek_" + path.rsplit("/", 1)[1]
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
+    return spark.table(name)
+
+
+def unbucketed(df: DataFrame) -> DataFrame:
+    """A bucketed table read as plain files, which Spark deals out by need."""
+    files = df.inputFiles()
+    return df.sparkSession.read.schema(df.schema).parquet(files[0].rsplit("/", 1)[0]) if files else df
+
+
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
     """Delete tables that nothing reads any more, and let Spark free the shuffle files of the plans that read them."""
     for path in paths:
+        spark.sql(f"DROP TABLE IF EXISTS tierseek_{path.rsplit('/', 1)[1]}")
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     gc.collect()

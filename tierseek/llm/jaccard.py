@@ -16,15 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierseek.llm.common import U64, among, gram_hashes, mix, scratch, table, word_hashes
+from tierseek.llm.common import U64, among, bucketed, gram_hashes, mix, scratch, table, unbucketed, word_hashes
 from tierseek.llm.graph import min_labels
 
 FLUSH = 500_000
 PER_BUCKET = 150_000
 #: Groups of candidates up to this size are compared pair by pair; larger ones block by block.
 SMALL, BLOCK = 40, 256
-#: Texts of one component that are dealt to one task together.
-TOGETHER = 500
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -105,13 +103,41 @@ def _stars(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 DESCRIBED = ("doc_id", "no_id", "n_shingles", "fa", "fb")
-BLOCKS = ("bucket", "sigs", "nodes", "pairs")
+BLOCKS = ("bucket", "sigs", "places", "nodes", "pairs")
+
+
+def _dealt(sigs: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its signatures."""
+    at = _bucket(sigs, buckets)
+    order = np.argsort(at, kind="stable")
+    ends = np.searchsorted(at[order], np.arange(buckets + 1, dtype=U64))
+    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        yield i, order[a:b]
+
+
+def _bucket(sigs: np.ndarray, buckets: int) -> np.ndarray:
+    return (sigs >> U64(32)) % U64(buckets)
+
+
+def _short(sigs: np.ndarray) -> bytes:
+    """Inside a bucket 32 bits name a signature: two that fall together only make a candidate more, which is verified."""
+    return sigs.astype(np.uint32).tobytes()
+
+
+def _places(where: np.ndarray, n: int) -> bytes:
+    """Indexes into a list of n, in as few bytes as they need."""
+    return where.astype(np.uint16 if n <= 1 << 16 else np.uint32).tobytes()
+
+
+def _named(places: bytes, names: bytes) -> np.ndarray:
+    found = np.frombuffer(names, np.int64)
+    return found[np.frombuffer(places, np.uint16 if len(found) <= 1 << 16 else np.uint32)]
 
 
 def _describe(k: int, scheme: Scheme, buckets: int):
     """Rows of two kinds from one pass over the texts: each row's set described, and blocks of signatures with a bucket.
 
-    A block is (bucket, sigs, nodes, pairs): signatures met once each, with stars of those that its texts share.
+    A block is (bucket, sigs, places, nodes, pairs): signatures met once each with an index into nodes, and stars of those that its texts share.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,15 +145,14 @@ def _describe(k: int, scheme: Scheme, buckets: int):
 
         def flush() -> pd.DataFrame:
             s, n, pairs = _stars(np.concatenate(sigs), np.concatenate(nodes))
-            at = (s >> U64(20)) % U64(buckets)
-            order = np.argsort(at, kind="stable")
-            ends = np.searchsorted(at[order], np.arange(buckets + 1, dtype=U64))
+            named, at_node = np.unique(n, return_inverse=True)
             at_pair = mix(pairs.view(U64).sum(1)) % U64(buckets) if len(pairs) else np.zeros(0, U64)
             rows = []
-            for i in range(buckets):
-                o, p = order[ends[i] : ends[i + 1]], pairs[at_pair == i] if len(pairs) else pairs
+            for i, o in _dealt(s, buckets):
+                p = pairs[at_pair == i] if len(pairs) else pairs
                 if len(o) or len(p):
-                    rows.append((i, s[o].tobytes(), n[o].tobytes(), p.astype(np.int64).tobytes()))
+                    mine, where = np.unique(at_node[o], return_inverse=True)
+                    rows.append((i, _short(s[o]), _places(where, len(mine)), named[mine].tobytes(), p.astype(np.int64).tobytes()))
             sigs.clear(), nodes.clear(), seen.clear()
             return pd.DataFrame(rows, columns=BLOCKS).reindex(columns=[*DESCRIBED, *BLOCKS]).astype(object).where(lambda x: x.notna(), None)
 
@@ -136,7 +161,7 @@ def _describe(k: int, scheme: Scheme, buckets: int):
             for doc_id, no_id, text in zip(b["doc_id"], b["no_id"], b["text"], strict=True):
                 x = shingles(text, k)
                 same = (len(x), int(mix(x + U64(1)).sum(dtype=U64)), int(mix(x + U64(2)).sum(dtype=U64)))
-                described.append((doc_id, no_id, len(x), *np.array(same[1:], U64).astype(np.int64).tolist(), None, None, None, None))
+                described.append((doc_id, no_id, len(x), *np.array(same[1:], U64).astype(np.int64).tolist(), None, None, None, None, None))
                 if no_id or same in seen:  # an exact copy: its class says all
                     continue
                 seen.add(same)
@@ -157,7 +182,8 @@ def _describe(k: int, scheme: Scheme, buckets: int):
 def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     """The stars of one bucket of signatures. It has at most one row for each flush of each input partition."""
     join = lambda c, t: np.frombuffer(b"".join(rows[c]), t)
-    _, _, pairs = _stars(join("sigs", U64), join("nodes", np.int64))
+    nodes = np.concatenate([np.zeros(0, np.int64), *map(_named, rows["places"], rows["nodes"])])
+    _, _, pairs = _stars(join("sigs", np.uint32), nodes)
     pairs = np.unique(np.concatenate([pairs, join("pairs", np.int64).reshape(-1, 2)]), axis=0)
     return pd.DataFrame({"b": pairs[:, 0], "a": pairs[:, 1]})
 
@@ -214,54 +240,54 @@ def _verify(k: int, scheme: Scheme):
     return run
 
 
-def _memberships(k: int, scheme: Scheme):
+def _memberships(k: int, scheme: Scheme, buckets: int):
+    """(sig, node), with a signature's bucket and its name in there as one number."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            sigs = [scheme.signatures(shingles(t, k)).astype(np.int64) for t in rows["text"]]
+            raw = [np.unique(scheme.signatures(shingles(t, k))) for t in rows["text"]]
+            sigs = [((_bucket(s, buckets) << U64(32)) + s.astype(np.uint32)).astype(np.int64) for s in raw]
             yield pd.DataFrame({"sig": np.concatenate([*sigs, np.zeros(0, np.int64)]), "node": np.repeat(rows["doc_id"].to_numpy(), [len(s) for s in sigs])})
 
     return run
 
 
-def _spans(k: int, scheme: Scheme, buckets: int):
-    """Blocks (bucket, sigs, low, high): signatures met once each, with the least and greatest component of their texts.
+def _extremes(sigs: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct signatures, and the least low and greatest high of each."""
+    order = np.argsort(sigs, kind="stable")
+    found, first = np.unique(sigs[order], return_index=True)
+    if len(found) == 0:
+        return found, low, high
+    return found, np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
 
-    Texts of a component come one after the other and share most signatures, so a block holds few more than one of them would.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, held, limit = [], 0, FLUSH
+def _spans(k: int, scheme: Scheme, buckets: int):
+    """Blocks (bucket, sigs, low, high, comps): signatures met once each, with the least and greatest component of their texts as indexes into comps."""
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            sigs, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
-            found, at = np.unique(sigs, return_inverse=True)
-            lows, highs = np.full(len(found), np.iinfo(np.int64).max), np.full(len(found), np.iinfo(np.int64).min)
-            np.minimum.at(lows, at, low)
-            np.maximum.at(highs, at, high)
-            return found, lows, highs
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sigs, comps, held = [], [], 0
 
         def flush() -> pd.DataFrame:
-            found, lows, highs = merged()
-            parts.clear()
-            at = (found >> U64(20)) % U64(buckets)
-            order = np.argsort(at, kind="stable")
-            ends = np.searchsorted(at[order], np.arange(buckets + 1, dtype=U64))
-            rows = [(i, *(x[order[a:b]].tobytes() for x in (found, lows, highs))) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
-            return pd.DataFrame(rows, columns=["bucket", "sigs", "low", "high"])
+            c = np.concatenate(comps)
+            s, lows, highs = _extremes(np.concatenate(sigs), c, c)
+            sigs.clear(), comps.clear()
+            rows = []
+            for i, o in _dealt(s, buckets):
+                if len(o):
+                    mine, where = np.unique(np.concatenate([lows[o], highs[o]]), return_inverse=True)
+                    rows.append((i, _short(s[o]), *(_places(x, len(mine)) for x in np.split(where, 2)), mine.tobytes()))
+            return pd.DataFrame(rows, columns=["bucket", "sigs", "low", "high", "comps"])
 
         for b in batches:
             for comp, text in zip(b["comp"], b["text"], strict=True):
                 s = scheme.signatures(shingles(text, k))
-                parts.append((s, np.full(len(s), comp, np.int64), np.full(len(s), comp, np.int64)))
+                sigs.append(s)
+                comps.append(np.full(len(s), comp, np.int64))
                 held += len(s)
-                if held >= limit:
-                    parts[:] = [merged()]
-                    held = len(parts[0][0])
-                    limit = max(FLUSH, 2 * held)
-                    if held >= FLUSH:
-                        yield flush()
-                        held, limit = 0, FLUSH
-        if parts:
+                if held >= FLUSH:
+                    yield flush()
+                    held = 0
+        if sigs:
             yield flush()
 
     return run
@@ -269,13 +295,9 @@ def _spans(k: int, scheme: Scheme, buckets: int):
 
 def _open_signatures(rows: pd.DataFrame) -> pd.DataFrame:
     """The signatures of one bucket with more than one component. It has at most one row for each flush of each partition."""
-    join = lambda c, t: np.frombuffer(b"".join(rows[c]), t)
-    found, at = np.unique(join("sigs", U64), return_inverse=True)
-    low, high = join("low", np.int64), join("high", np.int64)
-    lows, highs = np.full(len(found), np.iinfo(np.int64).max), np.full(len(found), np.iinfo(np.int64).min)
-    np.minimum.at(lows, at, low)
-    np.maximum.at(highs, at, high)
-    return pd.DataFrame({"sig": found[lows < highs].astype(np.int64)})
+    low, high = (np.concatenate([np.zeros(0, np.int64), *map(_named, rows[x], rows["comps"])]) for x in ("low", "high"))
+    found, lows, highs = _extremes(np.frombuffer(b"".join(rows["sigs"]), np.uint32), low, high)
+    return pd.DataFrame({"sig": (int(rows["bucket"].iloc[0]) << 32) + found[lows < highs].astype(np.int64)})
 
 
 def _block_links(k: int, scheme: Scheme):
@@ -312,7 +334,7 @@ def links(docs: DataFrame, words: int = 3, similarity: tuple[int, int] = (90, 10
     share = 3.0 * (scheme.den - scheme.num) / (scheme.den + scheme.num)
     buckets = max(12, int(total * 2 * share / PER_BUCKET))
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
-    kinds = "doc_id long, no_id boolean, n_shingles long, fa long, fb long, bucket int, sigs binary, nodes binary, pairs binary"
+    kinds = "doc_id long, no_id boolean, n_shingles long, fa long, fb long, bucket int, sigs binary, places binary, nodes binary, pairs binary"
     with scratch(docs.sparkSession) as keep:  # the blocks of signatures go as soon as their pairs are known
         both = table(rows.mapInPandas(_describe(words, scheme, buckets), kinds))
         blocks = both.where("bucket is not null").select(*BLOCKS)
@@ -331,30 +353,29 @@ def links(docs: DataFrame, words: int = 3, similarity: tuple[int, int] = (90, 10
     pairs = table(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    texts = table(among(known, "doc_id", ends))
+    # the joins by doc_id below read the texts where they lie, in buckets
+    texts = bucketed(among(known, "doc_id", ends), "doc_id")
     sketches = table(texts.mapInPandas(_sketches(words), "doc_id long, n long, sk binary"))
 
     def verified(candidates: DataFrame) -> DataFrame:
-        ta, tb = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+        tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         end = lambda x: sketches.select(*[F.col(c).alias(n) for c, n in (("doc_id", x), ("n", f"n{x}"), ("sk", f"sk{x}"))])
         # a sketch is a few hundred bytes, a text may be any length: only pairs that pass meet with their texts
-        near = candidates.join(end("b"), "b").join(end("a"), "a").mapInPandas(_near(scheme), "a long, b long").distinct()
-        both = near.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
+        near = table(candidates.join(end("b"), "b").join(end("a"), "a").mapInPandas(_near(scheme), "a long, b long").distinct())
+        # a hub may be in many pairs: its side is dealt anew, so that Spark can split it
+        hubs = among(unbucketed(texts), "doc_id", near.select(F.col("a").alias("doc_id")).distinct())
+        both = near.join(tb, "b").join(hubs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
         return table(both.mapInPandas(_verify(words, scheme), "a long, b long, linked boolean"))
 
     tested = verified(pairs)
     edges = table(tested.where("linked").select("a", "b").union(copies))
     labels = min_labels(edges)
 
-    # texts of a component side by side, those of a large one in several tasks
-    spread = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("tasks"))
-    placed = texts.join(labels.join(spread, "label"), texts["doc_id"] == labels["node"], "left")
-    placed = placed.select(F.coalesce("label", "doc_id").alias("comp"), F.pmod(F.xxhash64("doc_id"), F.coalesce("tasks", F.lit(1))).alias("task"), "text")
-    placed = placed.repartition("comp", "task").sortWithinPartitions("comp")
-    spans = placed.mapInPandas(_spans(words, scheme, buckets), "bucket int, sigs binary, low binary, high binary")
+    placed = texts.join(labels, texts["doc_id"] == labels["node"], "left").select(F.coalesce("label", "doc_id").alias("comp"), "text")
+    spans = placed.mapInPandas(_spans(words, scheme, buckets), "bucket int, sigs binary, low binary, high binary, comps binary")
     open_sigs = table(spans.groupBy("bucket").applyInPandas(_open_signatures, "sig long"))
     # only members of signatures that hold two components are shuffled
-    members = among(texts.mapInPandas(_memberships(words, scheme), "sig long, node long"), "sig", open_sigs).distinct()
+    members = among(texts.mapInPandas(_memberships(words, scheme, buckets), "sig long, node long"), "sig", open_sigs).distinct()
     found = members.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).select("sig", "node", "comp")
     still = table(found.join(found.groupBy("sig").agg(F.count(F.lit(1)).alias("m")), "sig"))
     small = still.where(F.col("m") <= SMALL)
