@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierseek.llm.common import scratch, table
+from tierseek.llm.common import among, let, scratch, table
 
 
 def _number_signs() -> str:
@@ -32,7 +32,8 @@ def _number_signs() -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
 
 
-#: A word is a run of letters.
+#: A word is a run of letters. The first pattern also takes number signs such as a superscript two, and is much faster.
+RUNS = re.compile(r"[^\W\d_]+")
 WORDS = re.compile(rf"[^\W\d_{_number_signs()}]+")
 ORDERS = (5, 4, 3, 2, 1)
 FLUSH = 300_000
@@ -59,7 +60,9 @@ def grams_of(part: str, order: int) -> list[str]:
 
 def units_of(text: str) -> list[str]:
     """The lower-case words of a text; those of over LONGEST letters as slices, with a space before each, which no word holds."""
-    words = WORDS.findall(text.lower())
+    words = RUNS.findall(text.lower())
+    if words and not "".join(words).isalpha():
+        words = WORDS.findall(text.lower())
     if not words or max(map(len, words)) <= LONGEST:
         return words
     return [x for w in words for x in ([w] if len(w) <= LONGEST else [f" {part}" for part in slices_of(w)])]
@@ -92,35 +95,22 @@ def _count_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
-def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(size, gram, lang, n): the n-grams of units, as often as the unit in each language."""
-    counts: dict[tuple[str, int], Counter] = {}
+def grams_column(order: int) -> Column:
+    """grams_of(marked(unit), order) as a column."""
+    is_slice = F.startswith("unit", F.lit(" "))
+    part = F.when(is_slice, F.substring("unit", 2, 1 << 20)).otherwise(F.concat(F.lit("^"), "unit", F.lit("$")))
+    return let(part, lambda p: F.transform(F.sequence(F.lit(1), n_grams(order)), lambda i: F.substring(p, i, F.lit(order))))
 
-    def flush() -> pd.DataFrame:
-        rows = [(o, g, lang, n) for (lang, o), c in counts.items() for g, n in c.items()]
-        counts.clear()
-        return pd.DataFrame(rows, columns=["size", "gram", "lang", "n"])
 
-    for batch in batches:
-        for i, (unit, langs, ns) in enumerate(zip(batch["unit"], batch["langs"], batch["ns"], strict=True)):
-            part = marked(unit)
-            for o in ORDERS:
-                grams = grams_of(part, o)
-                for lang, n in zip(langs, ns, strict=True):
-                    c = counts.setdefault((lang, o), Counter())
-                    for g in grams:
-                        c[g] += n
-            if i % 1000 == 999 and sum(map(len, counts.values())) > FLUSH:
-                yield flush()
-    yield flush()
+def n_grams(order: int) -> Column:
+    """How many n-grams start in a unit; 0 for one that is too short."""
+    is_slice = F.startswith("unit", F.lit(" "))
+    n = F.when(is_slice, F.length("unit") - 1).otherwise(F.length("unit") + 2) - (order - 1)
+    return F.greatest(F.lit(0), F.when(is_slice & ~F.endswith("unit", F.lit("$")), F.least(n, F.lit(STARTS))).otherwise(n))
 
 
-def _grams_of_units(order: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(u, g) for u in b["unit"] for g in grams_of(marked(u), order)], columns=["unit", "gram"])
-
-    return run
+def _exploded(units: DataFrame, order: int, *columns: Column | str) -> DataFrame:
+    return units.where(n_grams(order) > 0).select(*columns, F.explode(grams_column(order)).alias("gram"))
 
 
 class Head:
@@ -204,13 +194,10 @@ def learn(units: DataFrame) -> tuple[list[str], np.ndarray, DataFrame]:
     spark = units.sparkSession
     is_word = ~F.startswith("unit", F.lit(" "))
     totals = units.where(is_word).select(F.explode("seen").alias("s")).groupBy("s.lang").agg(F.sum("s.n").alias("n"))
-    counted = units.where(F.size("seen") > 0)
-    arrays = counted.select("unit", F.transform("seen", lambda s: s["lang"]).alias("langs"), F.transform("seen", lambda s: s["n"]).alias("ns"))
-    pairs = arrays.mapInPandas(_count_grams, "size int, gram string, lang string, n long").repartition("size", "gram")
-    pairs = pairs.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
-    grams = table(pairs.groupBy("size", "gram").agg(F.collect_list(F.struct("lang", "n")).alias("seen")))
+    counted = units.where(F.size("seen") > 0).select("unit", F.explode("seen").alias("s")).select("unit", "s.lang", "s.n")
     of_words = {r[0]: float(r[1]) for r in totals.collect()}  # a row for each language
-    of_grams = {(r[0], r[1]): float(r[2]) for r in grams.select("size", F.explode("seen").alias("s")).groupBy("size", "s.lang").agg(F.sum("s.n")).collect()}
+    sums = counted.groupBy("lang").agg(*[F.sum(F.col("n") * n_grams(o)).alias(str(o)) for o in ORDERS]).collect()
+    of_grams = {(o, r["lang"]): float(r[str(o)]) for r in sums for o in ORDERS if r[str(o)]}
     langs = sorted(of_words | {lang: 0.0 for _, lang in of_grams})
     weights = {0: 1.0} | {o: o / (ORDERS[0] + 1) for o in ORDERS}  # n-grams say less than a whole word, and shorter ones less still
     base = np.array([[-weights[o] * math.log((max(1.0, of_words.get(x, 1.0) if not o else of_grams.get((o, x), 1.0)) + PRIOR) / PRIOR) for x in langs] for o in range(len(ORDERS) + 1)])
@@ -223,8 +210,11 @@ def learn(units: DataFrame) -> tuple[list[str], np.ndarray, DataFrame]:
     said = units.where(own).select("unit", "total", F.lit(0).alias("o"), entries.alias("e"))
     rest = units.where(~own).select("unit", "total")
     for o in ORDERS:
-        of_order = grams.where(F.col("size") == o).select("gram", entries.alias("e"))
-        met = rest.select("unit").mapInPandas(_grams_of_units(o), "unit string, gram string").join(of_order, "gram")
+        pairs = table(_exploded(rest, o, "unit"))
+        # only n-grams that some unit asks for are counted
+        asked = among(_exploded(counted, o, "lang", "n"), "gram", pairs.select("gram").distinct())
+        of_order = asked.groupBy("gram", "lang").agg(F.sum("n").alias("n")).groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("seen"))
+        met = pairs.join(of_order.select("gram", entries.alias("e")), "gram")
         met = met.groupBy("unit").agg(F.count(F.lit(1)).alias("found"), F.flatten(F.collect_list("e")).alias("e"))
         scaled = F.transform("e", lambda x: F.struct(x["l"].alias("l"), (x["v"] * weights[o] / F.col("found")).alias("v"))).cast(ENTRIES)
         tried = table(rest.join(met, "unit", "left").select("unit", "total", "found", scaled.alias("e")))
