@@ -184,7 +184,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     size = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), size.alias("size"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
-    both = rows.join(taken.select("d", "s", "z", "copies"), same)
+    # there is a row taken for about each document, so this side grows with the input and is not broadcast at any size
+    both = rows.join(taken.select("d", "s", "z", "copies").hint("merge"), same)
     return both.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
