@@ -115,7 +115,8 @@ def among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     bits = ids.select(row.alias("__row"), bit.alias("__bit")).groupBy("__row").agg(F.bitmap_construct_agg("__bit").alias("__map"))
     byte = F.conv(F.hex(F.substring("__map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     near = df.withColumn("__row", row).join(F.broadcast(bits), "__row").where(F.getbit(byte, bit % 8) == 1)
-    return near.select(df.columns).join(ids.select(key), key)  # a semi join would be moved below the filter
+    # ids grow with the input, so they aren't broadcast at any size; a semi join would be moved below the filter
+    return near.select(df.columns).join(ids.select(key).hint("merge"), key)
 
 
 def let(value: Column, body) -> Column:

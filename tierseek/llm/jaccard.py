@@ -364,7 +364,7 @@ def links(docs: DataFrame, words: int = 3, similarity: tuple[int, int] = (90, 10
         near = table(candidates.join(end("b"), "b").join(end("a"), "a").mapInPandas(_near(scheme), "a long, b long").distinct())
         # a hub may be in many pairs: its side is dealt anew, so that Spark can split it
         hubs = among(unbucketed(texts), "doc_id", near.select(F.col("a").alias("doc_id")).distinct())
-        both = near.join(tb, "b").join(hubs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+        both = near.join(tb, "b").join(hubs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").select("a", "b", "ta", "tb")
         return table(both.mapInPandas(_verify(words, scheme), "a long, b long, linked boolean"))
 
     tested = verified(pairs)
