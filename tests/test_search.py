@@ -7,7 +7,8 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from tierseek.functions import fold as T
-from tierseek.operators.search import FieldSpec, FuzzyIndex
+from tierseek.operators.match import Query
+from tierseek.operators.search import FieldSpec, FuzzyIndex, fuzzy_join
 from tierseek.plans import catalog
 from tierseek.streaming.search import match_stream
 
@@ -55,6 +56,28 @@ def test_session_equals_fresh_searches(spark):
     assert spark._jsc.getPersistentRDDs().size() == before
 
 
+def test_join_equals_each_query_on_its_own(spark):
+    texts = ["Wooden spoon", "spoon, wooden", "woodenspoon", " Café au lait", "cafe", "a b c", "b--a", "--", "", None, "spo", "wooden spoon", "x wooden y spoon z", "Ab", "aba", "\\E.*"]
+    asked = ["wooden spoon", "Wooden Spoon", "spoon wooden", "café", "CAFE", "a b", "b a", "--", "ab", "oo", "x", "", None, "nowhere", "spo", "spo", "\\E", ".*"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, name string").coalesce(2)
+    queries = spark.createDataFrame(list(enumerate(asked)), "id long, query string").coalesce(1)
+    got = fuzzy_join(df, queries, "name").select("asked.id", "found.id", "score", "tier", F.to_json("ranges")).collect()
+    want = []
+    for i, q in enumerate(asked):
+        found = FuzzyIndex(df, "name", "id").matches(Query.of(q or ""), False).where("score <= 2.0") if len(Query.of(q or "").text) > 1 else None
+        rows = found.select("id", "score", F.col("fields")[0]["tier"], F.to_json(F.col("fields")[0]["ranges"])).collect() if found is not None else []
+        want += [(i, *r) for r in rows]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 30
+
+
+def test_join_limit_ties_and_empty_tables(spark):
+    df = spark.createDataFrame([(3, "tea"), (1, "tea"), (2, "tea cup"), (4, "steam")], "id long, name string").coalesce(1)
+    queries = spark.createDataFrame([("a", "tea"), ("b", "tea"), ("c", "cup")], "name string, query string").coalesce(1)
+    got = fuzzy_join(df, queries, "name", limit=2, key="id").select("asked.name", "found.id").collect()
+    assert sorted(map(tuple, got)) == [("a", 1), ("a", 3), ("b", 1), ("b", 3), ("c", 2)]
+    assert fuzzy_join(df, queries.limit(0), "name").count() == 0 == fuzzy_join(df.limit(0), queries, "name").count()
+
+
 def test_search_is_lazy(spark):
     index = FuzzyIndex(spark.createDataFrame([(1, "wooden")], "id long, name string").select("id", F.assert_true(F.lit(False)).cast("string").alias("name")), "name", "id")
     index.search("wodden spoon")  # would fail if it ran anything

@@ -8,9 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierseek.functions import fold as T
 from tierseek.functions.fold import fold_table
 from tierseek.functions.scores import BUDGET, MIN_QUERY, MIN_TYPO, SCORES
-from tierseek.operators.match import MATCH, Query, W, _q, admits, fuzzy_match, let, match_of, matching, prepared
+from tierseek.operators.match import MATCH, Query, W, _q, admits, fuzzy_match, ladder, let, match_of, matching, prepared
+
+#: The longest runs of characters on which rows meet a table of queries.
+GRAM = 3
 
 
 @dataclass(frozen=True)
@@ -167,6 +171,46 @@ def search_many(index: FuzzyIndex, queries: dict[str, str], limit: int | None =
     return found.withColumn("rank", rank)
 
 
+def fuzzy_join(df: DataFrame, queries: DataFrame, text: str, query: str = "query", limit: int | None = None, key: str | list[str] | None = None) -> DataFrame:
+    """asked (a row of queries as a struct), found (a row of df as a struct), score, tier, ranges: the literal matches of a table of queries of any size.
+
+    One lazy plan. A literal match holds every run of up to GRAM characters of the query's words, so rows meet a query on the one of these runs that
+    fewest rows hold, and only they are matched. Initials, the chain and corrections depend on a query that is known when the plan is built: see search().
+    A null query, one of under two characters, and a null text match nothing; repeated queries are matched once and each get all rows. With a limit
+    each query keeps its best rows, ties by the columns of df that key names.
+    """
+    keys = [key] if isinstance(key, str) else list(key or [])
+    asked = queries.select(F.struct(*[queries[c] for c in queries.columns]).alias("asked"), T.trim(queries[query]).alias("raw"), T.normalise_text(queries[query]).alias("q"))
+    asked = asked.where(F.length("q") >= MIN_QUERY)
+    words = T.split_words(F.col("q"))
+    # a query without any word characters is looked for by its own runs
+    texts = asked.select("raw", "q", words.alias("words"), F.when(F.size(words) > 0, words).otherwise(F.array("q")).alias("units")).distinct()
+    width = F.least(F.array_max(F.transform("units", lambda u: F.length(u))), F.lit(GRAM))
+    runs = texts.withColumn("width", width).select("raw", F.explode(F.array_distinct(F.flatten(F.transform("units", lambda u: _runs(u, F.col("width")))))).alias("gram"))
+
+    rows = df.where(df[text].isNotNull()).select(F.struct(*[df[c] for c in df.columns]).alias("found"), prepared(df[text]).alias("p"))
+    every = F.array_distinct(F.concat(*[_runs(F.col("p")["norm"], F.lit(n)) for n in range(1, GRAM + 1)]))
+    held = rows.select(F.explode(every).alias("gram")).join(runs.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = runs.join(held, "gram", "left").groupBy("raw").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+
+    near = rows.withColumn("gram", F.explode(every)).join(texts.join(rarest, "raw").drop("units"), "gram")
+    p = F.col("p")
+    hit = F.when(F.contains(p["norm"], F.col("q")) | (F.size("words") > 1), ladder(p["field"], p["norm"], F.col("raw"), F.col("q"), F.col("words"), False).cast(MATCH))
+    best = matching(near, hit, "m")
+    shifted = F.transform("m.ranges", lambda r: F.struct((r["start"] + p["lead"]).alias("start"), (r["end"] + p["lead"]).alias("end")))
+    best = best.select("raw", "found", "m.score", "m.tier", shifted.alias("ranges"))
+    if limit is not None:
+        order = Window.partitionBy("raw").orderBy("score", *[F.col("found")[k] for k in keys])
+        best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("rank")
+    return asked.select("asked", "raw").join(best, "raw").drop("raw")
+
+
+def _runs(text: Column, n: Column) -> Column:
+    """All runs of n characters; none of a shorter text."""
+    last = F.length(text) - n + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
+
+
 def mrr(ranked: DataFrame, wanted: dict[str, object], column: str, at: int = 10) -> DataFrame:
     """Mean reciprocal rank of the wanted rows (query_id -> value of column); 0 past at and for what wasn't found."""
     spark = ranked.sparkSession

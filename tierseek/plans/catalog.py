@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tierseek.functions import fold as T
 from tierseek.functions.scores import SCORES
 from tierseek.operators.match import Query, admits, fuzzy_match, matching
-from tierseek.operators.search import FieldSpec, FuzzyIndex, funnel, mrr, search_many
+from tierseek.operators.search import FieldSpec, FuzzyIndex, funnel, fuzzy_join, mrr, search_many
 from tierseek.plans.oracle import rows_sql
 from tierseek.sources.tables import read
 
@@ -87,6 +87,14 @@ def search_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mrr(search_many(index, PROBES, limit=10), WANTED, "p_name").select(F.round("mrr", 6).alias("mrr"))
 
 
+def query_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word that occurs in a part's name as a query against all names."""
+    parts = _parts(spark, sf_dir)
+    words = parts.select(F.explode(F.split("p_name", " ")).alias("query")).distinct()
+    found = fuzzy_join(parts, words, "p_name")
+    return found.select("asked.query", "found.p_partkey", F.round("score", 4).alias("score"), "tier")
+
+
 def gate_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel(read(spark, sf_dir, "documents"), "text", "licensed").select("n_rows", "n_gate", "n_literal")
 
@@ -134,6 +142,7 @@ QUERIES = {
     "rescue_within_budget": _searched("nation_2"),
     "search_many": search_many_ranked,
     "mrr": search_mrr,
+    "query_join": query_join,
     "gate_funnel": gate_funnel,
     "longtext_guard": longtext_guard,
 }
@@ -184,6 +193,12 @@ _RANKED = " UNION ALL ".join(
     f"SELECT '{k}' AS query_id, * FROM ({rows_sql('part', 'p_partkey', 'p_name', q, 'row_number() OVER (ORDER BY m.score, p_partkey) AS rank, p_partkey, p_name, round(score, 4) AS score', search=True)}) WHERE rank <= 10"
     for k, q in PROBES.items()
 )
+ORACLES["query_join"] = r"""WITH q AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS query FROM part),
+    s AS (SELECT query, p_partkey, CASE WHEN p_name = query THEN 0.0 WHEN lower(p_name) = lower(query) THEN 0.1 WHEN starts_with(lower(p_name), lower(query)) THEN 0.5
+        WHEN regexp_matches(p_name, '(^|[^\p{L}\p{N}_])' || query) THEN 0.9 WHEN regexp_matches(lower(p_name), '(^|[^\p{L}\p{N}_])' || lower(query)) THEN 1.0 ELSE 2.0 END AS score
+        FROM q JOIN part ON length(query) >= 2 AND contains(lower(p_name), lower(query)))
+    SELECT query, p_partkey, CAST(score AS DOUBLE) AS score, CASE score WHEN 0.0 THEN 'exact' WHEN 0.1 THEN 'normalised-exact' WHEN 0.5 THEN 'prefix' WHEN 0.9 THEN 'boundary-exact'
+        WHEN 1.0 THEN 'boundary' ELSE 'contains' END AS tier FROM s"""
 ORACLES["search_many"] = _RANKED
 _WANTED = ", ".join(f"('{k}', '{v}')" for k, v in WANTED.items())
 ORACLES["mrr"] = f"""SELECT round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM (SELECT w.q, min(s.rank) AS r FROM (VALUES {_WANTED}) AS w(q, want)
