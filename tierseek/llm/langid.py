@@ -14,9 +14,11 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,18 +75,21 @@ def marked(unit: str) -> str:
     return unit[1:] if unit.startswith(" ") else f"^{unit}$"
 
 
-def _count_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(unit, lang, n) of the batches, added up in memory until there are FLUSH entries."""
     counts: dict[str | None, Counter] = {}
 
-    def flush() -> pd.DataFrame:
-        rows = [(u, lang, n) for lang, c in counts.items() for u, n in c.items()]
+    def flush() -> pa.RecordBatch:
+        sizes = [len(c) for c in counts.values()]
+        units = pa.array(list(chain.from_iterable(counts.values())), pa.string())
+        langs = pa.array(list(counts), pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        n = pa.array(np.fromiter(chain.from_iterable(c.values() for c in counts.values()), np.int64, sum(sizes)))
         counts.clear()
-        return pd.DataFrame(rows, columns=["unit", "lang", "n"])
+        return pa.RecordBatch.from_arrays([units, langs, n], ["unit", "lang", "n"])
 
     held = 0
     for batch in batches:
-        for lang, text in zip(batch["lang"], batch["text"], strict=True):
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
             c = counts.setdefault(lang, Counter())
             held -= len(c)
             c.update(units_of(text))
@@ -113,52 +118,81 @@ def _exploded(units: DataFrame, order: int, *columns: Column | str) -> DataFrame
     return units.where(n_grams(order) > 0).select(*columns, F.explode(grams_column(order)).alias("gram"))
 
 
-class Head:
-    """What the most frequent units say: their order, and (language, value) entries of each in one array."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (unit, o, e) packed into one row for each batch, so that the driver holds bytes and no object for each unit. No unit has a line break."""
+    for b in batches:
+        e = b["e"]
+        flat = e.flatten()
+        parts = (b["o"], e.value_lengths(), flat.field("l"), flat.field("v"))
+        arrays = [x.to_numpy(zero_copy_only=False).tobytes() for x in parts]
+        if len(b):
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in ("\n".join(b["unit"].to_pylist()).encode(), *arrays)], list(PACKED))
+
+
+PACKED = ("units", "orders", "sizes", "langs", "vals")
+#: Units of texts whose entries are added up at a time, and texts that are read at a time.
+UNITS_AT_ONCE, TEXTS_AT_ONCE = 1 << 16, 256
+
 
-    def __init__(self, rows: pd.DataFrame, n_langs: int):
-        self.at = {u: i for i, u in enumerate(rows["unit"])}
-        self.order = rows["o"].to_numpy(np.int64)
-        self.sizes = np.array([len(x) for x in rows["ls"]], np.int64)
+class Head:
+    """What the most frequent units say: their order, and (language, value) entries of each in one array. Pickled as packed, and laid out where it is used."""
+
+    def __init__(self, packed: list[tuple[bytes, ...]], n_langs: int):
+        self.packed, self.n_langs = packed, n_langs
+
+    def __setstate__(self, state: dict):
+        self.n_langs = state["n_langs"]
+        units, *parts = zip(*state["packed"], strict=True) if state["packed"] else [()] * len(PACKED)
+        self.at = {u: i for i, u in enumerate(x for block in units for x in block.decode().split("\n"))}
+        self.order, self.sizes, self.langs, self.values = (
+            np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in xs)]) for kind, xs in zip((np.int32, np.int32, np.int32, float), parts, strict=True)
+        )
+        self.sizes = self.sizes.astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        flat = lambda c, t: np.concatenate([np.zeros(0, t), *(np.asarray(x, t) for x in rows[c])])
-        self.langs, self.values, self.n_langs = flat("ls", np.int64), flat("vs", float), n_langs
-
-    def read(self, text: str | None) -> tuple[int, np.ndarray, list[str], list[int]]:
-        """Units of a text, the sums over those of the head (how many of each order, then by language), the others and their counts."""
-        counts = Counter(units_of(text)) if text else {}
-        get = self.at.get
-        found, times, rest, rest_times = [], [], [], []
-        for u, n in counts.items():
-            if (i := get(u)) is None:
-                rest.append(u)
-                rest_times.append(n)
-            else:
-                found.append(i)
-                times.append(n)
-        sums = np.zeros(len(ORDERS) + 2 + self.n_langs)
-        if found:
-            i, n = np.array(found), np.array(times, float)
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[list[int]]]:
+        """Units of each text, the sums over those of the head (how many of each order, then by language), the others and their counts."""
+        counts = [Counter(units_of(t)) if t else {} for t in texts]
+        sizes = np.array([len(c) for c in counts], np.int64)
+        found = np.fromiter(map(self.at.get, chain.from_iterable(counts), repeat(-1)), np.int64, sizes.sum())
+        times = np.fromiter(chain.from_iterable(c.values() for c in counts), np.int64, sizes.sum())
+        text = np.repeat(np.arange(len(texts)), sizes)
+        width = len(ORDERS) + 2 + self.n_langs
+        sums = np.zeros(len(texts) * width)
+        known = np.flatnonzero(found >= 0)
+        for k in range(0, len(known), UNITS_AT_ONCE):
+            some = known[k : k + UNITS_AT_ONCE]
+            i, n, row = found[some], times[some].astype(float), text[some] * width
             size = self.sizes[i]
             at = np.arange(size.sum()) + np.repeat(self.starts[i] - (np.cumsum(size) - size), size)
-            sums = np.bincount(
-                np.concatenate([self.order[i] + 1, self.langs[at] + len(ORDERS) + 2]), np.concatenate([n, self.values[at] * np.repeat(n, size)]), len(sums)
-            )
-        return sum(counts.values()), sums, rest, rest_times
+            keys = np.concatenate([row + self.order[i] + 1, np.repeat(row, size) + self.langs[at] + len(ORDERS) + 2])
+            sums += np.bincount(keys, np.concatenate([n, self.values[at] * np.repeat(n, size)]), len(sums))
+        rest, rest_times = [[] for _ in texts], [[] for _ in texts]
+        others = [list(counts[t]) if few else None for t, few in enumerate(np.bincount(text[found < 0], minlength=len(texts)))]
+        starts = np.cumsum(sizes) - sizes
+        for k in np.flatnonzero(found < 0).tolist():
+            t = text[k]
+            rest[t].append(others[t][k - starts[t]])
+            rest_times[t].append(int(times[k]))
+        return np.bincount(text, times, len(texts)).astype(np.int64), sums.reshape(len(texts), width), rest, rest_times
 
 
 def _read(shared, columns: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, row = shared.value, TaskContext.get().partitionId() << 33
-        for b in batches:
-            read = [head.read(t) for t in b["__text"]]
-            some = [np.flatnonzero(s) for _, s, _, _ in read]
-            yield b[columns].assign(
-                __row=np.arange(row, row + len(b)), __units=[n for n, *_ in read],
-                __keys=[k.astype(np.int32) for k in some], __vals=[s[k] for k, (_, s, _, _) in zip(some, read, strict=True)],
-                __rest=[r for *_, r, _ in read], __times=[t for *_, t in read],
-            )
-            row += len(b)
+        for whole in batches:
+            for k in range(0, len(whole), TEXTS_AT_ONCE):
+                b = whole.slice(k, TEXTS_AT_ONCE)
+                units, sums, rest, times = head.read(b["__text"].to_pylist())
+                at, key = np.nonzero(sums)
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(b)))]), pa.int32())
+                state = {
+                    "__row": pa.array(np.arange(row, row + len(b))), "__units": pa.array(units),
+                    "__keys": pa.ListArray.from_arrays(ends, pa.array(key, pa.int32())), "__vals": pa.ListArray.from_arrays(ends, pa.array(sums[at, key])),
+                    "__rest": pa.array(rest, pa.list_(pa.string())), "__times": pa.array(times, pa.list_(pa.int64())),
+                }
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in columns), *state.values()], [*columns, *state])
+                row += len(b)
 
     return run
 
@@ -238,7 +272,7 @@ def identify(docs: DataFrame, teaches: Column, columns: list[str], text: str = "
             label = F.when(F.coalesce(teaches, F.lit(False)), F.col(lang)).cast("string")
             raw = docs.where(F.col(text).isNotNull()).select(label.alias("lang"), F.col(text).cast("string").alias("text"))
             # dealt by unit alone, so that both sums need one exchange
-            counts = raw.mapInPandas(_count_units, "unit string, lang string, n long").repartition("unit")
+            counts = raw.mapInArrow(_count_units, "unit string, lang string, n long").repartition("unit")
             counts = counts.groupBy("unit", "lang").agg(F.sum("n").alias("n"))
             seen = F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "n"))).alias("seen")
             units = table(counts.groupBy("unit").agg(F.sum("n").alias("total"), seen))
@@ -251,14 +285,13 @@ def identify(docs: DataFrame, teaches: Column, columns: list[str], text: str = "
             if n_units > HEAD or n_cells > HEAD_CELLS:
                 break
             first = b
-        arrays = [F.transform("e", lambda x: x["l"]).alias("ls"), F.transform("e", lambda x: x["v"]).alias("vs")]
-        head = Head(said.where(F.col("bin") >= first).select("unit", "o", *arrays).toPandas(), len(langs))
-        shared = spark.sparkContext.broadcast(head)
+        packed = said.where(F.col("bin") >= first).select("unit", "o", "e").mapInArrow(_packed, ", ".join(f"{c} binary" for c in PACKED))
+        shared = spark.sparkContext.broadcast(Head([tuple(map(bytes, r)) for r in packed.collect()], len(langs)))
         renamed = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)], F.col(text).cast("string").alias("__text"))
         names = renamed.columns[:-1]
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in renamed.schema.fields[:-1])
         state = "__row long, __units long, __keys array<int>, __vals array<double>, __rest array<string>, __times array<long>"
-        read = table(renamed.mapInPandas(_read(shared, names), f"{kinds}, {state}"))
+        read = table(renamed.mapInArrow(_read(shared, names), f"{kinds}, {state}"))
         pairs = read.select("__row", F.explode(F.arrays_zip("__rest", "__times")).alias("p")).select("__row", F.col("p.__rest").alias("unit"), F.col("p.__times").alias("n"))
         met = pairs.join(said.where(F.col("bin") < first).select("unit", "o", "e"), "unit")
         keys = F.concat(F.array(F.col("o") + 1), F.transform("e", lambda x: x["l"] + len(ORDERS) + 2))
