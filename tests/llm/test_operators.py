@@ -2,11 +2,14 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -279,6 +282,34 @@ def test_langid_equals_brute_force(spark, monkeypatch, head):
     assert [got[-5 - i][0] for i in range(2)] == ["und"] * 2 and got[-6][0] == "und"
 
 
+def test_head_adds_up_long_texts_in_slices(monkeypatch):
+    """What a head reads off texts, a few units at a time, against plain loops; it travels packed."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcé") for _ in range(r.randint(1, 3))) for _ in range(60)] + ["x" * 50]
+    units = list(dict.fromkeys(u for w in words[:40] for u in langid.units_of(w)))
+    said = {u: (r.choice([-1, 0, 5, 2]), [{"l": j, "v": r.random()} for j in range(4) if r.random() < 0.6]) for u in units}
+    rows = [{"unit": u, "o": o, "e": e} for u, (o, e) in said.items()]
+    schema = pa.schema([("unit", pa.string()), ("o", pa.int32()), ("e", pa.list_(pa.struct([("l", pa.int32()), ("v", pa.float64())])))])
+    batches = [pa.RecordBatch.from_pylist(x, schema) for x in (rows[:7], [], rows[7:])]
+    packed = [tuple(row.values()) for b in langid._packed(batches) for row in b.to_pylist()]
+    head = pickle.loads(pickle.dumps(langid.Head(packed, 4)))
+    monkeypatch.setattr(langid, "UNITS_AT_ONCE", 5)
+    texts = [" ".join(r.choice(words) for _ in range(n)) for n in (0, 1, 300, 4000)] + [None, "12 34", "x" * 500]
+    n_units, sums, rest, times = head.read(texts)
+    for i, t in enumerate(texts):
+        count = Counter(langid.units_of(t or ""))
+        want = [0.0] * (len(langid.ORDERS) + 2 + 4)
+        for u, n in count.items():
+            if u in said:
+                want[said[u][0] + 1] += n
+                for x in said[u][1]:
+                    want[len(langid.ORDERS) + 2 + x["l"]] += n * x["v"]
+        assert n_units[i] == sum(count.values()) and sums[i].tolist() == pytest.approx(want)
+        assert dict(zip(rest[i], times[i], strict=True)) == {u: n for u, n in count.items() if u not in said}
+    empty = pickle.loads(pickle.dumps(langid.Head([], 0)))
+    assert empty.read(["a b a"])[2:] == ([["a", "b"]], [[2, 1]])
+
+
 def test_chat(spark):
     rows = [(1, 1, "user", "a"), (1, 2, "bot", "b"), (2, 1, "user", "a"), (2, 2, "bot", "b"), (2, 3, "user", "c"), (3, 1, "user", "a"), (3, 2, "bot", "b"), (3, 3, "user", "c")]
     rows += [(4, 1, None, None), (4, 1, None, None), (None, 1, "user", "a"), (5, 1, "user", "a")]
