@@ -19,6 +19,8 @@ from tierseek.llm.common import table
 
 PIVOTS, ANNULI, BLOCK, CHUNK = 48, 24, 1024, 128
 PIVOT_SAMPLE = 4096
+#: A task hands on what it holds once that is of more queries than this.
+HELD = 20_000
 #: Slack for rounding in distances that are computed in doubles; scores themselves are whole numbers.
 SLACK = 1e-6
 
@@ -165,30 +167,45 @@ def top_k(vectors: DataFrame, k: int = 20, is_query: Column | None = None, id_co
     visit = "cell int, part int, q_ids binary, q binary, floor binary"
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The k best of each query over the blocks of a task; what they reach so far is the floor of the blocks to come."""
+        least = -np.iinfo(np.int64).max
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def flush() -> pd.DataFrame:
+            sizes = [len(x) for x, _ in held.values()]
+            cat = lambda i: np.concatenate([np.zeros(0, np.int64), *(x[i] for x in held.values())])
+            out = pd.DataFrame({"query_id": np.repeat(np.array([*held], np.int64), sizes), "vec_id": cat(1), "score": cat(0)})
+            held.clear()
+            return out
+
         for b in batches:
             for r in b.itertuples(index=False):
                 q_ids, q = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q, np.int64).reshape(-1, width)
                 ids, x = np.frombuffer(r.ids, np.int64), np.frombuffer(r.m, np.int64).reshape(-1, width)
-                floor = np.frombuffer(r.floor, np.int64) if r.floor else None
-                s, least = _scores(q, x), -np.iinfo(np.int64).max
+                floor = np.frombuffer(r.floor, np.int64) if r.floor else np.full(len(q_ids), least + 1)
+                so_far = [held.get(i) for i in q_ids.tolist()]
+                floor = np.maximum(floor, [h[0][-1] if h is not None and len(h[0]) == k else least + 1 for h in so_far])
+                s = _scores(q, x)
                 s[q_ids[:, None] == ids[None]] = least
-                if r.floor:
-                    floor = np.frombuffer(r.floor, np.int64)
-                    some = np.flatnonzero((s >= floor[:, None]).any(1))
-                    s, q_ids, floor = s[some], q_ids[some], floor[some]
+                some = np.flatnonzero((s >= floor[:, None]).any(1))
                 # a block's rows are in the order of their ids, so a stable sort gives ties to the smaller id
-                at = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(s, at, 1)
-                ok = best > least
-                if r.floor:
-                    ok &= best >= floor[:, None]
-                who, _ = np.nonzero(ok)
-                yield pd.DataFrame({"query_id": q_ids[who], "vec_id": ids[at[ok]], "score": best[ok]})
+                at = np.argsort(-s[some], axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(s[some], at, 1)
+                for i, n, score, vec in zip(some.tolist(), (best >= floor[some, None]).sum(1).tolist(), best, ids[at], strict=True):
+                    score, vec, name = score[:n], vec[:n], int(q_ids[i])
+                    if (old := held.get(name)) is not None:  # also where a query has several rows in this block
+                        score, vec = np.concatenate([old[0], score]), np.concatenate([old[1], vec])
+                        order = np.lexsort((vec, -score))[:k]
+                        score, vec = score[order], vec[order]
+                    held[name] = score, vec
+            if len(held) > HELD:
+                yield flush()
+        yield flush()
 
     hit = "query_id long, vec_id long, score long"
 
     def merge(x: DataFrame) -> DataFrame:
-        """The k best of each query; collect_list of at most k rows from each visited block, cut to k."""
+        """The k best of each query, from those that each task found."""
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
