@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import regex
@@ -86,6 +87,76 @@ def test_scheme_shares_a_signature():
                     assert x & y
 
 
+@pytest.mark.parametrize("known", [0, 40])
+def test_similar_sets_share_a_rare_shingle(known):
+    r = random.Random(2)
+    for num in (80, 90):
+        scheme = jaccard.Scheme(num, 100)
+        for n in (1, 2, 5, 9, 10, 11, 57, 300):
+            for _ in range(50):
+                a = {r.randrange(1 << 60) for _ in range(n)}
+                b = set(a)
+                for x in r.sample(sorted(a), r.randrange(max(1, n // 6))):
+                    b.discard(x)
+                    if r.random() < 0.5:
+                        b.add(r.randrange(1 << 60))
+                frequent = np.array(sorted(r.sample(sorted(a | b), min(known, len(a | b)))), np.uint64)
+                counts = np.array([r.randrange(2, 9) for _ in frequent], np.int64)
+                if len(a) > len(b):
+                    a, b = b, a
+                (x, few), (y, _) = (jaccard.prefix(np.array(sorted(s), np.uint64), scheme, (frequent, counts)) for s in (a, b))
+                if 100 * len(a & b) >= num * len(a | b):
+                    assert set(x[:few].tolist()) & set(y.tolist())
+                assert len(x) == len(a) - -(-num * len(a) // 100) + 1 >= few
+                if known and len(a) >= 300:
+                    assert not set(x[:few].tolist()) & set(frequent.tolist())
+
+
+def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
+    """Texts that share a passage and little else: their shared signatures are many, what is compared must not grow with their square."""
+    r = random.Random(8)
+    passage = " ".join(f"common{i}" for i in range(25))
+    rows = [(i, passage + " " + " ".join(f"w{r.randrange(10**9)}" for _ in range(60))) for i in range(150)]
+    near = rows[7][1].split()
+    rows += [(1000 + i, " ".join([*near[:40], f"other{i}", *near[41:]])) for i in range(3)]
+    wrote, table = [], jaccard.table
+    monkeypatch.setattr(jaccard, "table", lambda df: (t := table(df), wrote.append((t.columns, t.count())))[0])
+    got = sorted(map(tuple, jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), 5, (80, 100)).collect()))
+    assert got == sorted((d, len(t.split()) - 4, 7 if d >= 1000 else d) for d, t in rows)
+    assert sum(n for c, n in wrote if c[0] == "sig") < len(rows)
+
+
+def test_large_groups(spark, monkeypatch):
+    """Every pair by large groups: here stars have one hub only, and sets that differ about as much as they may lie in many blocks."""
+    r = random.Random(4)
+
+    def one_hub(rows):
+        nodes = sorted({n for b in rows["nodes"] for n in np.frombuffer(b, np.int64).tolist()} - {0})
+        return pd.DataFrame({"a": np.array(nodes, np.int64), "b": np.zeros(len(nodes), np.int64)})
+
+    base = [f"b{i}" for i in range(130)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for j in r.sample(range(130), r.randrange(1, 6)):
+            w[j] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w[: r.choice([60, 90, 130])])))
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 40)
+    monkeypatch.setattr(jaccard, "FREQUENT", 30)
+    monkeypatch.setattr(jaccard, "_meet", one_hub)
+    sets = [(d, {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}) for d, t in rows]
+    label = {d: d for d, _ in sets}
+    for _ in sets:
+        for a, x in sets:
+            for b, y in sets:
+                if 100 * len(x & y) >= 80 * len(x | y):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = sorted(map(tuple, jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), 5, (80, 100)).collect()))
+    assert 3 < len(set(label.values())) < 90
+    assert got == sorted((d, len(x), label[d]) for d, x in sets)
+
+
 def test_top_k(spark):
     r = random.Random(5)
     rows = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(300)]

@@ -4,6 +4,9 @@ Sets are put into bands of sizes such that two similar enough sets lie in the sa
 size r, similar sets differ in at most k = 2r(1 - t)/(1 + t) shingles. The shingle domain is hashed into n1 parts of n2
 subparts; some part then holds at most k2 differences, and some choice of n2 - k2 of its subparts holds none. A signature is
 the hash of a set's shingles in such a choice, so similar sets share at least one. Candidates are verified exactly.
+
+A passage that many texts hold makes signatures that many share, and pairs of those would grow with the square of the input. So what
+the stars leave apart is looked for by rare shingles: in any one order of all shingles, similar sets share one of their first few.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from tierseek.llm.graph import min_labels
 FLUSH = 500_000
 PER_BUCKET = 150_000
 #: Groups of candidates up to this size are compared pair by pair; larger ones block by block.
-SMALL, BLOCK = 40, 256
+SMALL, BLOCK = 40, 1024
+#: Shingles whose frequency is known, at most; it only orders shingles, so that the others come first changes no result.
+FREQUENT = 1 << 18
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -189,16 +194,16 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def sketch(x: np.ndarray) -> bytes:
-    """How many shingles fall into each slot of a hash; more slots for larger sets."""
+    """How many shingles fall into each slot of a hash, 255 at most; more slots for larger sets."""
     slots = 64
-    while slots * 8 < len(x) and slots < 1024:
+    while slots < len(x) and slots < 4096:
         slots *= 2
-    return np.minimum(np.bincount((mix(x + U64(5)) % U64(slots)).astype(np.int64), minlength=slots), 65535).astype("<u2").tobytes()
+    return np.minimum(np.bincount((mix(x + U64(5)) % U64(slots)).astype(np.int64), minlength=slots), 255).astype(np.uint8).tobytes()
 
 
 def least_difference(a: bytes, b: bytes) -> int:
     """A lower bound of the number of shingles in which two sets differ: the L1 distance of their sketches."""
-    x, y = np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u2").astype(np.int64)
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
     n = min(len(x), len(y))
     return int(np.abs(x.reshape(-1, n).sum(0) - y.reshape(-1, n).sum(0)).sum())
 
@@ -240,48 +245,107 @@ def _verify(k: int, scheme: Scheme):
     return run
 
 
-def _memberships(k: int, scheme: Scheme, buckets: int):
-    """(sig, node), with a signature's bucket and its name in there as one number."""
+def prefix(x: np.ndarray, scheme: Scheme, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set, rarest first, and how many of them will do where the other set isn't smaller.
+
+    If two sets have o shingles in common, the first of them in any order is among the first |x| - o + 1 of each. Similar sets have
+    |x| num / den at least, and 2 |x| num / (num + den) of the smaller one. ``frequent`` has shingles, sorted, and their counts.
+    """
+    known, counts = frequent
+    rank = np.zeros(len(x), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        rank = np.where(known[at] == x, counts[at], 0)
+    n, num, den = len(x), scheme.num, scheme.den
+    return x[np.argsort(rank, kind="stable")[: n + (-n * num // den) + 1]], n + (-2 * n * num // (num + den)) + 1
+
+
+def _counted(k: int):
+    """(shingle, n) of shingles that several texts of the same flush hold."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets, held = [], 0
+
+        def flush() -> pd.DataFrame:
+            found, n = np.unique(np.concatenate(sets), return_counts=True)
+            sets.clear()
+            return pd.DataFrame({"shingle": found[n > 1].view(np.int64), "n": n[n > 1]})
+
+        for b in batches:
+            for text in b["text"]:
+                sets.append(shingles(text, k))
+                held += len(sets[-1])
+                if held >= 4 * FLUSH:
+                    yield flush()
+                    held = 0
+        if sets:
+            yield flush()
+
+    return run
+
+
+def _frequent(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of texts, FREQUENT at most, and about how many texts hold each."""
+    counts = table(texts.mapInPandas(_counted(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")))
+    level = F.floor(F.log2("n") * 8)
+    least, total = 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > FREQUENT:
+            least = r["level"] + 1
+            break
+    most = counts.where(level >= least).toPandas()
+    known = most["shingle"].to_numpy(np.int64).view(U64)
+    order = np.argsort(known)
+    return known[order], most["n"].to_numpy(np.int64)[order]
+
+
+def _memberships(k: int, scheme: Scheme, buckets: int, frequent: tuple[np.ndarray, np.ndarray]):
+    """(sig, node, n, first) for the rare shingles of texts, with a shingle's bucket and its name in there as one number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            raw = [np.unique(scheme.signatures(shingles(t, k))) for t in rows["text"]]
-            sigs = [((_bucket(s, buckets) << U64(32)) + s.astype(np.uint32)).astype(np.int64) for s in raw]
-            yield pd.DataFrame({"sig": np.concatenate([*sigs, np.zeros(0, np.int64)]), "node": np.repeat(rows["doc_id"].to_numpy(), [len(s) for s in sigs])})
+            sets = [shingles(t, k) for t in rows["text"]]
+            raw = [prefix(x, scheme, frequent) for x in sets]
+            sigs = [((_bucket(s, buckets) << U64(32)) + s.astype(np.uint32)).astype(np.int64) for s, _ in raw]
+            each = lambda c: np.repeat(c, [len(s) for s in sigs])
+            first = [np.arange(len(s)) < few for s, few in raw]
+            yield pd.DataFrame({"sig": np.concatenate([*sigs, np.zeros(0, np.int64)]), "node": each(rows["doc_id"].to_numpy()), "n": each(np.array([len(x) for x in sets], np.int64)), "first": np.concatenate([*first, np.zeros(0, bool)])})
 
     return run
 
 
-def _extremes(sigs: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct signatures, and the least low and greatest high of each."""
+def _extremes(sigs: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles, the least low and greatest high of each, and whether any of its rows is a first one."""
     order = np.argsort(sigs, kind="stable")
-    found, first = np.unique(sigs[order], return_index=True)
+    found, start = np.unique(sigs[order], return_index=True)
     if len(found) == 0:
-        return found, low, high
-    return found, np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+        return found, low, high, first
+    return found, np.minimum.reduceat(low[order], start), np.maximum.reduceat(high[order], start), np.maximum.reduceat(first[order], start)
 
 
-def _spans(k: int, scheme: Scheme, buckets: int):
-    """Blocks (bucket, sigs, low, high, comps): signatures met once each, with the least and greatest component of their texts as indexes into comps."""
+def _spans(k: int, scheme: Scheme, buckets: int, frequent: tuple[np.ndarray, np.ndarray]):
+    """Blocks (bucket, sigs, low, high, firsts, comps): rare shingles met once each, with the least and greatest component of their texts as indexes into comps."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sigs, comps, held = [], [], 0
+        sigs, comps, firsts, held = [], [], [], 0
 
         def flush() -> pd.DataFrame:
             c = np.concatenate(comps)
-            s, lows, highs = _extremes(np.concatenate(sigs), c, c)
-            sigs.clear(), comps.clear()
+            s, lows, highs, first = _extremes(np.concatenate(sigs), c, c, np.concatenate(firsts))
+            sigs.clear(), comps.clear(), firsts.clear()
             rows = []
             for i, o in _dealt(s, buckets):
                 if len(o):
                     mine, where = np.unique(np.concatenate([lows[o], highs[o]]), return_inverse=True)
-                    rows.append((i, _short(s[o]), *(_places(x, len(mine)) for x in np.split(where, 2)), mine.tobytes()))
-            return pd.DataFrame(rows, columns=["bucket", "sigs", "low", "high", "comps"])
+                    rows.append((i, _short(s[o]), *(_places(x, len(mine)) for x in np.split(where, 2)), np.packbits(first[o]).tobytes(), mine.tobytes()))
+            return pd.DataFrame(rows, columns=["bucket", "sigs", "low", "high", "firsts", "comps"])
 
         for b in batches:
             for comp, text in zip(b["comp"], b["text"], strict=True):
-                s = scheme.signatures(shingles(text, k))
+                s, few = prefix(shingles(text, k), scheme, frequent)
                 sigs.append(s)
+                firsts.append(np.arange(len(s)) < few)
                 comps.append(np.full(len(s), comp, np.int64))
                 held += len(s)
                 if held >= FLUSH:
@@ -294,28 +358,31 @@ def _spans(k: int, scheme: Scheme, buckets: int):
 
 
 def _open_signatures(rows: pd.DataFrame) -> pd.DataFrame:
-    """The signatures of one bucket with more than one component. It has at most one row for each flush of each partition."""
+    """The shingles of one bucket with more than one component, first ones of some text. It has at most one row for each flush of each partition."""
     low, high = (np.concatenate([np.zeros(0, np.int64), *map(_named, rows[x], rows["comps"])]) for x in ("low", "high"))
-    found, lows, highs = _extremes(np.frombuffer(b"".join(rows["sigs"]), np.uint32), low, high)
-    return pd.DataFrame({"sig": (int(rows["bucket"].iloc[0]) << 32) + found[lows < highs].astype(np.int64)})
+    first = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(x) // 4) for f, x in zip(rows["firsts"], rows["sigs"], strict=True)]
+    found, lows, highs, firsts = _extremes(np.frombuffer(b"".join(rows["sigs"]), np.uint32), low, high, np.concatenate([np.zeros(0, np.uint8), *first]))
+    return pd.DataFrame({"sig": (int(rows["bucket"].iloc[0]) << 32) + found[(lows < highs) & (firsts > 0)].astype(np.int64)})
 
 
-def _block_links(k: int, scheme: Scheme):
-    """Links between the outsiders of one block and the rows of another; shingles become columns of a 0/1 matrix."""
+def _block_pairs(scheme: Scheme):
+    """Pairs of the outsiders of one block and the rows of another whose sketches allow the similarity."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingles(t, k) for t in rows["text"]]
-        sizes = np.array([len(s) for s in sets])
-        _, columns = np.unique(np.concatenate(sets), return_inverse=True)
-        comp, nodes, out = rows["comp"].to_numpy(), rows["node"].to_numpy(), []
-        left, ends = np.flatnonzero(rows["side"].to_numpy() == 0), np.concatenate([[0], np.cumsum(sizes)])
-        for i in left:
-            mine = np.zeros(columns.max() + 1, np.int64)
-            mine[columns[ends[i] : ends[i + 1]]] = 1
-            common = np.add.reduceat(mine[columns], ends[:-1]) * (sizes > 0)
-            ok = (scheme.den * common >= scheme.num * (sizes[i] + sizes - common)) & (comp != comp[i])
-            out += [(nodes[i], n) for n in nodes[ok]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        raw = [np.frombuffer(x, np.uint8) for x in rows["sk"]]
+        slots = min(map(len, raw))
+        sketches = np.stack([x.reshape(-1, slots).sum(0, dtype=np.int32) for x in raw])
+        n, comp, nodes, out = rows["n"].to_numpy(), rows["comp"].to_numpy(), rows["node"].to_numpy(), []
+        side = rows["side"].to_numpy()
+        right = np.flatnonzero(side == 1)
+        sketches_right = sketches[right]
+        for i in np.flatnonzero(side == 0):
+            most = (n[i] + n[right]) * (scheme.den - scheme.num) // (scheme.den + scheme.num)
+            other = np.flatnonzero((comp[right] != comp[i]) & (np.abs(n[right] - n[i]) <= most))
+            ok = other[np.abs(sketches_right[other] - sketches[i]).sum(1) <= most[other]]
+            out.append(np.stack([np.minimum(nodes[right[ok]], nodes[i]), np.maximum(nodes[right[ok]], nodes[i])], axis=1))
+        found = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     return run
 
@@ -324,8 +391,8 @@ def links(docs: DataFrame, words: int = 3, similarity: tuple[int, int] = (90, 10
     """(described, labels): doc_id, n_shingles and set prints of each row; and for every linked doc_id its component.
 
     The links that are returned as components hold every pair of similar sets, by transitivity: rounds of verified stars
-    join most; then signatures that still hold two components have all their pairs across components verified, pair by pair
-    in groups of up to SMALL, block by block beyond.
+    join most; then rare shingles that texts of two components hold have all their pairs across components verified, pair by pair
+    in groups of up to SMALL; in larger ones sketches choose the pairs, block by block.
     """
     scheme = Scheme(*similarity)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -371,50 +438,63 @@ def links(docs: DataFrame, words: int = 3, similarity: tuple[int, int] = (90, 10
     edges = table(tested.where("linked").select("a", "b").union(copies))
     labels = min_labels(edges)
 
-    placed = texts.join(labels, texts["doc_id"] == labels["node"], "left").select(F.coalesce("label", "doc_id").alias("comp"), "text")
-    spans = placed.mapInPandas(_spans(words, scheme, buckets), "bucket int, sigs binary, low binary, high binary, comps binary")
+    placed = texts.join(labels, texts["doc_id"] == labels["node"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("comp"), "text")
+    # one text of each component counts: copies don't make a shingle frequent
+    frequent = _frequent(placed.where("doc_id = comp"), words)
+    spans = placed.select("comp", "text").mapInPandas(_spans(words, scheme, buckets, frequent), "bucket int, sigs binary, low binary, high binary, firsts binary, comps binary")
     open_sigs = table(spans.groupBy("bucket").applyInPandas(_open_signatures, "sig long"))
-    # only members of signatures that hold two components are shuffled
-    members = among(texts.mapInPandas(_memberships(words, scheme, buckets), "sig long, node long"), "sig", open_sigs).distinct()
-    found = members.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).select("sig", "node", "comp")
+    # only members of shingles that hold two components are shuffled
+    members = among(texts.mapInPandas(_memberships(words, scheme, buckets, frequent), "sig long, node long, n long, first boolean"), "sig", open_sigs).distinct()
+    found = members.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).select("sig", "node", "n", "first", "comp")
     still = table(found.join(found.groupBy("sig").agg(F.count(F.lit(1)).alias("m")), "sig"))
     small = still.where(F.col("m") <= SMALL)
-    groups = small.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("node", "comp"))).alias("g"))
-    each = groups.select(F.explode("g").alias("x"), "g").select("x", F.explode(F.filter("g", lambda y: (y["node"] > F.col("x")["node"]) & (y["comp"] != F.col("x")["comp"]))).alias("y"))
-    fresh = each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    fresh = table(fresh.join(pairs, ["a", "b"], "left_anti"))
+    groups = small.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("node", "comp", "n", "first"))).alias("g"))
+
+    def meets(x, y):
+        """Whether a shingle that two rows have in common may be the first one of a pair of similar sets."""
+        smaller = lambda a, b: a["first"] & (a["n"] <= b["n"]) & (b["n"] * scheme.num <= a["n"] * scheme.den)
+        return (y["node"] > x["node"]) & (y["comp"] != x["comp"]) & (smaller(x, y) | smaller(y, x))
+
+    each = groups.select(F.explode("g").alias("x"), "g").select("x", F.explode(F.filter("g", lambda y: meets(F.col("x"), y))).alias("y"))
+    fresh = each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    large = still.where(F.col("m") > SMALL).select("sig", "node", "comp")
+    if large.limit(1).count():
+        fresh = fresh.union(_large_groups(large, sketches, scheme))
+    fresh = table(fresh.distinct().join(pairs, ["a", "b"], "left_anti"))
     more = verified(fresh).where("linked").select("a", "b")
     if more.limit(1).count():
         edges = table(edges.union(more))
         labels = min_labels(edges)
-    large = still.where(F.col("m") > SMALL).select("sig", "node")
-    if large.limit(1).count():
-        edges = table(edges.union(_large_groups(large, labels, texts, words, scheme)))
-        labels = min_labels(edges)
     return described, labels
 
 
-def _large_groups(large: DataFrame, labels: DataFrame, texts: DataFrame, words: int, scheme: Scheme) -> DataFrame:
-    """Links across components between members of the same large signatures.
+def _large_groups(large: DataFrame, sketches: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs (a, b) across components of the members of large groups that may be similar by size and sketch.
 
-    Members of signatures that overlap make one group. Its largest component is compared with the others' members, and those with each
-    other, in blocks of about BLOCK rows; pairs within the largest component aren't looked at.
+    Members of groups that overlap make one group. In each band of sizes, all but its largest component are compared with the members in the
+    same and the adjacent bands, in blocks of about BLOCK rows; pairs within the largest component aren't looked at. Texts aren't read.
     """
-    large = table(large.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("comp")))
     hubs = large.groupBy("sig").agg(F.min("node").alias("hub"))
     group = min_labels(large.join(hubs, "sig").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    rows = large.select("node", "comp").distinct().join(group.withColumnRenamed("label", "g"), "node")
-    rows = table(rows)
+    # an id with several rows has a sketch for each
+    sets = sketches.select(F.col("doc_id").alias("node"), "n", "sk").distinct()
+    rows = large.select("node", "comp").distinct().join(group.withColumnRenamed("label", "g"), "node").join(sets, "node")
+    band = F.size(F.filter(F.array(*[F.lit(x) for x in scheme.ends]), lambda x: x < F.col("n")))
+    rows = table(rows.withColumn("band", band))
     sizes = rows.groupBy("g", "comp").count()
-    top = sizes.groupBy("g").agg(F.max(F.struct("count", "comp")).alias("t"), F.sum("count").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    top = top.select("g", F.col("t.comp").alias("top"), F.ceil((F.col("m") - F.col("t.count")) / BLOCK).alias("n_out"), F.ceil(F.col("m") / BLOCK).alias("n_all"))
-    rows = rows.join(top, "g").join(texts.dropDuplicates(["doc_id", "text"]).withColumnRenamed("doc_id", "node"), "node")
+    top = sizes.groupBy("g").agg(F.max(F.struct("count", "comp"))["comp"].alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select("g", "top")
+    rows = rows.join(top, "g")
+    every = rows.withColumn("at", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK))
+    outside = (F.col("band") == F.col("at")) & (F.col("comp") != F.col("top"))
+    dealt = every.groupBy("g", "at").agg(blocks(F.count_if(outside)).alias("n_out"), blocks(F.count(F.lit(1))).alias("n_all"), F.count_if(outside).alias("left")).where("left > 0").drop("left")
     spot = lambda n: F.pmod(F.xxhash64("node"), n)
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    out = rows.where("comp <> top").withColumn("o", spot(F.col("n_out"))).withColumn("i", span("n_all")).withColumn("side", F.lit(0))
-    every = rows.withColumn("i", spot(F.col("n_all"))).withColumn("o", span("n_out")).withColumn("side", F.lit(1))
-    both = out.unionByName(every).select("g", "o", "i", "side", "node", "comp", "text")
-    return both.groupBy("g", "o", "i").applyInPandas(_block_links(words, scheme), "a long, b long")
+    every = every.join(table(dealt), ["g", "at"])
+    out = every.where(outside).withColumn("o", spot(F.col("n_out"))).withColumn("i", span("n_all")).withColumn("side", F.lit(0))
+    every = every.withColumn("i", spot(F.col("n_all"))).withColumn("o", span("n_out")).withColumn("side", F.lit(1))
+    both = out.unionByName(every).select("g", "at", "o", "i", "side", "node", "comp", "n", "sk")
+    return both.groupBy("g", "at", "o", "i").applyInPandas(_block_pairs(scheme), "a long, b long")
 
 
 def components(docs: DataFrame, words: int = 3, similarity: tuple[int, int] = (90, 100)) -> DataFrame:
