@@ -172,6 +172,27 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_ships_a_query_once_a_shard(spark, monkeypatch):
+    """Vectors without any structure: every query visits every cell. Its vector must not go to each of them."""
+    r = np.random.default_rng(6)
+    x = r.integers(-60, 60, (1500, 16))
+    x[700:730] = x[0]
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    monkeypatch.setattr(topk, "ASKED", 30)
+    plans, merged = [], type(spark.range(0)).mapInPandas
+    monkeypatch.setattr(type(spark.range(0)), "mapInPandas", lambda self, f, schema: (out := merged(self, f, schema), plans.append((schema, out)))[0])
+    df = spark.createDataFrame([(i, (v / 64).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk.top_k(df).collect()))
+    want = []
+    for q in range(0, 1500, 20):
+        best = sorted((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q)[:20]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == want
+    visits = [out for schema, out in plans if "q binary" in schema]
+    assert len(visits) == 2
+    assert sum(v.agg(F.sum(F.octet_length("q"))).first()[0] for v in visits) < 75 * 16 * 8 * 30
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
     import public_tokenizers as P

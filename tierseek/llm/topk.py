@@ -19,8 +19,8 @@ from tierseek.llm.common import table
 
 PIVOTS, ANNULI, BLOCK, CHUNK = 48, 24, 1024, 128
 PIVOT_SAMPLE = 4096
-#: A task hands on what it holds once that is of more queries than this.
-HELD = 20_000
+#: Blocks are searched by shards of SHARD blocks at most, and by LEAST_SHARDS shards where there are so many blocks; ASKED queries at a time meet a shard.
+SHARD, LEAST_SHARDS, ASKED = 64, 24, 1 << 16
 #: Slack for rounding in distances that are computed in doubles; scores themselves are whole numbers.
 SLACK = 1e-6
 
@@ -40,10 +40,12 @@ def _matrix(column, width: int) -> np.ndarray:
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles while every sum is below 2^53, else in Python integers."""
-    top = lambda a: int(np.abs(a).max()) if a.size else 0
-    if top(q) * top(x) * max(1, q.shape[1]) < 2**53:
-        return (q.astype(float) @ x.astype(float).T).astype(np.int64)
+    """Exact inner products: in floats or doubles while every sum fits their digits, else in Python integers."""
+    top = lambda a: max(int(a.max()), -int(a.min())) if a.size else 0
+    most = top(q) * top(x) * max(1, q.shape[1])
+    for digits, kind in ((24, np.float32), (53, np.float64)):
+        if most < 2**digits:
+            return (q.astype(kind) @ x.astype(kind).T).astype(np.int64)
     return (q.astype(object) @ x.astype(object).T).astype(np.int64)
 
 
@@ -87,6 +89,7 @@ def top_k(vectors: DataFrame, k: int = 20, is_query: Column | None = None, id_co
     out = "query_id long, rank int, vec_id long, score long"
     if top is None:
         return spark.createDataFrame([], out)
+    kind = np.int16 if top < 32767**2 else np.int64  # of the components in blocks and chunks
     # about one cell for each BLOCK vectors, up to PIVOTS * ANNULI cells; beyond that cells get more blocks
     wanted = max(1, -(-n_rows // BLOCK))
     annuli = min(ANNULI, max(1, round((wanted / 2) ** 0.5)))
@@ -113,8 +116,15 @@ def top_k(vectors: DataFrame, k: int = 20, is_query: Column | None = None, id_co
     of_cell = dict(zip(bounds["cell"].tolist(), blocks.tolist(), strict=True))
     many = F.get(F.array(*[F.lit(int(of_cell.get(c, 1))) for c in range(len(pivots) * annuli)]), F.col("cell"))
     part = F.pmod(F.xxhash64("id", "x"), many).cast("int")
-    packed = cells.select("cell", part.alias("part"), "id", "x").groupBy("cell", "part").applyInPandas(_block(width), "cell int, part int, ids binary, m binary")
-    index = table(packed)
+    packed = cells.select("cell", part.alias("part"), "id", "x").groupBy("cell", "part").applyInPandas(_block(width, kind), "cell int, part int, ids binary, m binary")
+    # blocks are numbered by cell and part, and so many in a row make a shard
+    first_block, n_blocks = np.cumsum(blocks) - blocks, int(blocks.sum())
+    per_shard = max(1, min(SHARD, n_blocks // LEAST_SHARDS))
+    at_block = dict(zip(bounds["cell"].tolist(), first_block.tolist(), strict=True))
+    number = F.get(F.array(*[F.lit(int(at_block.get(c, 0))) for c in range(len(pivots) * annuli)]), F.col("cell")) + F.col("part")
+    groups = max(1, -(-rows.where("q").count() // ASKED))
+    index = table(packed.select(F.floor(number / per_shard).cast("int").alias("shard"), (number % per_shard).cast("int").alias("at"), "ids", "m"))
+    index = index.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     cell_ids, low, high = (bounds[c].to_numpy() for c in ("cell", "low", "high"))
 
     def bound(q: np.ndarray) -> np.ndarray:
@@ -128,18 +138,17 @@ def top_k(vectors: DataFrame, k: int = 20, is_query: Column | None = None, id_co
     n_asked = rows.where("q").count()
     chunk = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n_asked // (CHUNK * len(pivots))))))
     chunks = table(asked.withColumn("chunk", chunk).groupBy("pivot", "chunk").applyInPandas(
-        lambda g: pd.DataFrame([{"first": int(a["id"].iloc[0]), "ids": a["id"].to_numpy(np.int64).tobytes(), "m": _matrix(a["x"], width).tobytes()} for a in (g.iloc[i : i + CHUNK] for i in range(0, len(g), CHUNK))]),
+        lambda g: pd.DataFrame([{"first": int(a["id"].iloc[0]), "ids": a["id"].to_numpy(np.int64).tobytes(), "m": _matrix(a["x"], width).astype(kind).tobytes()} for a in (g.iloc[i : i + CHUNK] for i in range(0, len(g), CHUNK))]),
         "first long, ids binary, m binary",
     ))
 
     def probe(first: bool):
-        """(chunk's row, cell, part) of the cells to visit: the nearest until they hold k + 1 rows, or all others within reach."""
+        """A chunk's row for each shard with cells to visit: the nearest until they hold k + 1 rows, or all others within reach. Bits say which query visits which block."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                out = []
                 for r in b.itertuples(index=False):
-                    ids, q = np.frombuffer(r.ids, np.int64), np.frombuffer(r.m, np.int64).reshape(-1, width)
+                    ids, q = np.frombuffer(r.ids, np.int64), np.frombuffer(r.m, kind).reshape(-1, width)
                     lows = bound(q)
                     order = np.argsort(lows, axis=1, kind="stable")
                     counts = np.cumsum(bounds["n"].to_numpy()[order], axis=1)
@@ -155,52 +164,48 @@ def top_k(vectors: DataFrame, k: int = 20, is_query: Column | None = None, id_co
                         squares = (q.astype(float) ** 2).sum(1) + top
                         reach = np.where(full, np.sqrt(np.maximum(0.0, squares - 2.0 * np.where(full, least, 0))), np.inf)
                         want = ~near & (lows <= (reach * (1 + SLACK) + SLACK)[:, None])
-                    for c in np.flatnonzero(want.any(0)):
-                        pick = np.flatnonzero(want[:, c])
-                        floor = np.frombuffer(r.least, np.int64)[pick].tobytes() if not first else b""
-                        for p in range(blocks[c]):
-                            out.append((int(cell_ids[c]), p, ids[pick].tobytes(), q[pick].tobytes(), floor))
-                yield pd.DataFrame(out, columns=["cell", "part", "q_ids", "q", "floor"])
+                    want, out = np.repeat(want, blocks, axis=1), []
+                    for shard in range(-(-n_blocks // per_shard)):
+                        here = want[:, shard * per_shard : (shard + 1) * per_shard]
+                        pick = np.flatnonzero(here.any(1))
+                        if len(pick):
+                            floor = np.frombuffer(r.least, np.int64)[pick].tobytes() if not first else b""
+                            out.append((shard, int(r.first % groups), ids[pick].tobytes(), q[pick].tobytes(), floor, np.packbits(here[pick]).tobytes(), here.shape[1]))
+                    # a chunk at a time: what a task holds doesn't grow with the chunks
+                    yield pd.DataFrame(out, columns=["shard", "asked", "q_ids", "q", "floor", "want", "n"])
 
         return run
 
-    visit = "cell int, part int, q_ids binary, q binary, floor binary"
+    visit = "shard int, asked int, q_ids binary, q binary, floor binary, want binary, n int"
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The k best of each query over the blocks of a task; what they reach so far is the floor of the blocks to come."""
+    def search(visits: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        """The k best of each query in a shard; what a chunk's queries reach so far is the floor of the blocks to come."""
         least = -np.iinfo(np.int64).max
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def flush() -> pd.DataFrame:
-            sizes = [len(x) for x, _ in held.values()]
-            cat = lambda i: np.concatenate([np.zeros(0, np.int64), *(x[i] for x in held.values())])
-            out = pd.DataFrame({"query_id": np.repeat(np.array([*held], np.int64), sizes), "vec_id": cat(1), "score": cat(0)})
-            held.clear()
-            return out
-
-        for b in batches:
-            for r in b.itertuples(index=False):
-                q_ids, q = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q, np.int64).reshape(-1, width)
-                ids, x = np.frombuffer(r.ids, np.int64), np.frombuffer(r.m, np.int64).reshape(-1, width)
-                floor = np.frombuffer(r.floor, np.int64) if r.floor else np.full(len(q_ids), least + 1)
-                so_far = [held.get(i) for i in q_ids.tolist()]
-                floor = np.maximum(floor, [h[0][-1] if h is not None and len(h[0]) == k else least + 1 for h in so_far])
-                s = _scores(q, x)
-                s[q_ids[:, None] == ids[None]] = least
-                some = np.flatnonzero((s >= floor[:, None]).any(1))
-                # a block's rows are in the order of their ids, so a stable sort gives ties to the smaller id
-                at = np.argsort(-s[some], axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(s[some], at, 1)
-                for i, n, score, vec in zip(some.tolist(), (best >= floor[some, None]).sum(1).tolist(), best, ids[at], strict=True):
-                    score, vec, name = score[:n], vec[:n], int(q_ids[i])
-                    if (old := held.get(name)) is not None:  # also where a query has several rows in this block
-                        score, vec = np.concatenate([old[0], score]), np.concatenate([old[1], vec])
-                        order = np.lexsort((vec, -score))[:k]
-                        score, vec = score[order], vec[order]
-                    held[name] = score, vec
-            if len(held) > HELD:
-                yield flush()
-        yield flush()
+        held = [(at, np.frombuffer(ids, np.int64), np.frombuffer(m, kind).reshape(-1, width)) for at, ids, m in zip(shard["at"], shard["ids"], shard["m"], strict=True)]
+        none = np.zeros(0, np.int64)
+        out = [(none, none, none)]
+        for r in visits.itertuples(index=False):
+            q_ids, q = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q, kind).reshape(-1, width)
+            want = np.unpackbits(np.frombuffer(r.want, np.uint8), count=len(q_ids) * r.n).reshape(-1, r.n).astype(bool)
+            floor = np.frombuffer(r.floor, np.int64).copy() if r.floor else np.full(len(q_ids), least + 1)
+            floor = np.maximum(floor, least + 1)
+            best = [(none, none)] * len(q_ids)
+            for at, ids, x in held:
+                pick = np.flatnonzero(want[:, at])
+                if not len(pick):
+                    continue
+                s = _scores(q[pick], x)
+                s[q_ids[pick][:, None] == ids[None]] = least
+                hits = s >= floor[pick, None]
+                for i in np.flatnonzero(hits.any(1)).tolist():
+                    n = pick[i]
+                    score, vec = np.concatenate([best[n][0], s[i, hits[i]]]), np.concatenate([best[n][1], ids[hits[i]]])
+                    order = np.lexsort((vec, -score))[:k]
+                    best[n] = score[order], vec[order]
+                    if len(order) == k:
+                        floor[n] = max(floor[n], score[order[-1]])
+            out += [(np.full(len(v), i, np.int64), v, s) for i, (s, v) in zip(q_ids.tolist(), best, strict=True) if len(v)]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     hit = "query_id long, vec_id long, score long"
 
@@ -209,21 +214,24 @@ def top_k(vectors: DataFrame, k: int = 20, is_query: Column | None = None, id_co
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    near = chunks.mapInPandas(probe(True), visit).join(index, ["cell", "part"]).mapInPandas(search, hit)
+    def searched(visits: DataFrame) -> DataFrame:
+        return visits.groupBy("shard", "asked").cogroup(index.groupBy("shard", "asked")).applyInPandas(search, hit)
+
+    near = searched(chunks.mapInPandas(probe(True), visit))
     near = table(merge(near).drop("rank"))
     # the k-th best score so far goes back to the chunks
     least = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
     members = chunks.mapInPandas(_members, "first long, at int, query_id long")
     back = members.join(least, "query_id", "left").groupBy("first").applyInPandas(_gather, "first long, least binary")
-    rest = chunks.join(back, "first").mapInPandas(probe(False), visit).join(index, ["cell", "part"]).mapInPandas(search, hit)
+    rest = searched(chunks.join(back, "first").mapInPandas(probe(False), visit))
     best = merge(near.unionByName(rest))
     return best.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
-def _block(width: int):
+def _block(width: int, kind: type):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id", kind="stable")
-        return pd.DataFrame({"cell": [g["cell"].iloc[0]], "part": [g["part"].iloc[0]], "ids": [g["id"].to_numpy(np.int64).tobytes()], "m": [_matrix(g["x"], width).tobytes()]})
+        return pd.DataFrame({"cell": [g["cell"].iloc[0]], "part": [g["part"].iloc[0]], "ids": [g["id"].to_numpy(np.int64).tobytes()], "m": [_matrix(g["x"], width).astype(kind).tobytes()]})
 
     return run
 
