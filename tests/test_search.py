@@ -94,3 +94,13 @@ def test_stream(spark, tmp_path):
 def test_core_stands_without_the_llm_folders():
     code = "import sys; sys.modules['tierseek.llm'] = None; import __spark_entry__ as e; assert not any(k.startswith('op') for k in e.queries()) and 'pipeline' not in e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+def test_join_broadcasts_nothing_that_grows(spark, tmp_path):
+    """Files of repeated texts are far smaller than what is made from them, so Spark's estimate would have broadcast every row."""
+    spark.range(3000).select("id", F.concat_ws(" ", F.lit("red"), F.lit("widget"), (F.col("id") % 7).cast("string")).alias("name")).write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    found = fuzzy_join(df, df.select(F.explode(F.split("name", " ")).alias("query")).distinct(), "name")
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert any("SortMergeJoin" in x for x in joins) and all("SortMergeJoin" in x or "__row" in x for x in joins), joins
+    assert found.count() == 6000  # each row for red and for widget; single digits are too short to be queries
+
+

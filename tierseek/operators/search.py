@@ -15,6 +15,8 @@ from tierseek.operators.match import MATCH, Query, W, _q, admits, fuzzy_match, l
 
 #: The longest runs of characters on which rows meet a table of queries.
 GRAM = 3
+#: Places of the filter of such runs (512 kB however many there are), and how many tasks share the texts that hold one run.
+PLACES, PER_ROW, SHARES = 1 << 22, 1 << 15, 16
 
 
 @dataclass(frozen=True)
@@ -174,8 +176,9 @@ def search_many(index: FuzzyIndex, queries: dict[str, str], limit: int | None =
 def fuzzy_join(df: DataFrame, queries: DataFrame, text: str, query: str = "query", limit: int | None = None, key: str | list[str] | None = None) -> DataFrame:
     """asked (a row of queries as a struct), found (a row of df as a struct), score, tier, ranges: the literal matches of a table of queries of any size.
 
-    One lazy plan. A literal match holds every run of up to GRAM characters of the query's words, so rows meet a query on the one of these runs that
-    fewest rows hold, and only they are matched. Initials, the chain and corrections depend on a query that is known when the plan is built: see search().
+    One lazy plan. A literal match holds every run of up to GRAM characters of the query's words, so texts meet a query on the one of these runs that
+    fewest texts hold, and only they are matched; equal texts are matched once. Initials, the chain and corrections depend on a query that is known when
+    the plan is built: see search(). Files say too little about the size of what is made from them, so only a filter of fixed size is ever broadcast.
     A null query, one of under two characters, and a null text match nothing; repeated queries are matched once and each get all rows. With a limit
     each query keeps its best rows, ties by the columns of df that key names.
     """
@@ -188,21 +191,36 @@ def fuzzy_join(df: DataFrame, queries: DataFrame, text: str, query: str = "query
     width = F.least(F.array_max(F.transform("units", lambda u: F.length(u))), F.lit(GRAM))
     runs = texts.withColumn("width", width).select("raw", F.explode(F.array_distinct(F.flatten(F.transform("units", lambda u: _runs(u, F.col("width")))))).alias("gram"))
 
-    rows = df.where(df[text].isNotNull()).select(F.struct(*[df[c] for c in df.columns]).alias("found"), prepared(df[text]).alias("p"))
+    rows = df.where(df[text].isNotNull()).select(df[text].alias("text"), F.struct(*[df[c] for c in df.columns]).alias("found"))
+    held = df.select(df[text].alias("text")).where("text is not null").distinct().select("text", prepared(F.col("text")).alias("p"))
     every = F.array_distinct(F.concat(*[_runs(F.col("p")["norm"], F.lit(n)) for n in range(1, GRAM + 1)]))
-    held = rows.select(F.explode(every).alias("gram")).join(runs.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = runs.join(held, "gram", "left").groupBy("raw").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
-
-    near = rows.withColumn("gram", F.explode(every)).join(texts.join(rarest, "raw").drop("units"), "gram")
+    counted = _perhaps(held.select(F.explode(every).alias("gram")), "gram", runs).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = runs.hint("merge").join(counted, "gram", "left").groupBy("raw").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+
+    # a frequent run is shared out by the texts that hold it
+    share = F.pmod(F.xxhash64("text"), F.lit(SHARES)).cast("int")
+    meeting = texts.drop("units").hint("merge").join(rarest, "raw").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    near = _perhaps(held.select("text", "p", F.explode(every).alias("gram")), "gram", rarest).withColumn("share", share)
+    near = near.hint("merge").join(meeting, ["gram", "share"])
     p = F.col("p")
     hit = F.when(F.contains(p["norm"], F.col("q")) | (F.size("words") > 1), ladder(p["field"], p["norm"], F.col("raw"), F.col("q"), F.col("words"), False).cast(MATCH))
     best = matching(near, hit, "m")
     shifted = F.transform("m.ranges", lambda r: F.struct((r["start"] + p["lead"]).alias("start"), (r["end"] + p["lead"]).alias("end")))
-    best = best.select("raw", "found", "m.score", "m.tier", shifted.alias("ranges"))
-    if limit is not None:
-        order = Window.partitionBy("raw").orderBy("score", *[F.col("found")[k] for k in keys])
-        best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("rank")
-    return asked.select("asked", "raw").join(best, "raw").drop("raw")
+    best = best.select("raw", "text", "m.score", "m.tier", shifted.alias("ranges"))
+    if limit is None:
+        return rows.hint("merge").join(asked.select("asked", "raw").hint("merge").join(best, "raw"), "text").select("asked", "found", "score", "tier", "ranges")
+    order = Window.partitionBy("raw").orderBy("score", *[F.col("found")[k] for k in keys])
+    best = rows.hint("merge").join(best, "text").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return asked.select("asked", "raw").hint("merge").join(best, "raw").select("asked", "found", "score", "tier", "ranges")
+
+
+def _perhaps(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose key is in the column of the same name of wanted, and a few others: a bitmap of hashed keys, of a fixed size, is broadcast."""
+    place = F.pmod(F.xxhash64(key), F.lit(PLACES))
+    row, bit = F.floor(place / PER_ROW).cast("int"), (place % PER_ROW).cast("int")
+    bits = wanted.select(row.alias("__row"), bit.alias("__bit")).groupBy("__row").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    byte = F.conv(F.hex(F.substring("__map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return df.withColumn("__row", row).join(F.broadcast(bits), "__row").where(F.getbit(byte, bit % 8) == 1).select(df.columns)
 
 
 def _runs(text: Column, n: Column) -> Column:
