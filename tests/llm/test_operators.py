@@ -221,6 +221,27 @@ def test_packing(docs, rows):
     assert len(sequences) <= -(-sum(r["length"] for r in got) // 256) + 1
 
 
+def test_copies_are_encoded_once_and_ids_stay(spark, monkeypatch):
+    """Neighbouring copies cost one encoding, and splitting without looking ahead gives the tokenizer's ids around runs of white space."""
+    from tokenizers import Tokenizer
+    import public_tokenizers as P
+
+    seen, encode, t = [], packing.default_encoder(), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(packing, "default_encoder", lambda v: lambda text: (seen.append(text), encode(text))[1])
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 3})())
+    texts = ["one two three", "one two three", "one two three", None, None, "", "other", "one two three"]
+    (got,) = packing._pieces(2, 2, True, "")(iter([pd.DataFrame({"doc_id": range(8), "text": texts})]))
+    assert seen == ["one two three", "other", "one two three"]
+    for d, text in enumerate(texts):
+        rows = got[got["doc_id"] == d]
+        assert [x for ids in rows["ids"] for x in ids] == t.encode(text or "", add_special_tokens=False).ids + [2]
+    assert sorted(got["nth"][got["length"] == 2]) == list(range((got["length"] == 2).sum()))
+    r = random.Random(5)
+    for _ in range(500):
+        text = "".join(r.choice(["  ", " ", "\n", "\t", "\u2003", "\x1c", "a", "it's", "é", "12", "--", "'"]) for _ in range(r.randrange(30))) * r.choice([1, 3])
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_fullest_is_exact():
     r = random.Random(2)
     for _ in range(50):
